@@ -10,9 +10,11 @@ one class; classes, not copies, are joined:
    so linked sets agree on a whole part that is not empty.  Each class emits a
    key for each part; equal keys make candidates.  No frequency is needed and
    nothing is lost: this is the pigeonhole principle, not a sketch.
-2. Groups. In every bucket of equal keys each class is compared with the
-   bucket's least class, and linked classes form groups.  A bucket of k classes
-   costs k - 1 comparisons, however large the group of near copies is.
+2. Groups. Classes with too many tokens that no other candidate has link with
+   nothing and leave.  In every bucket of equal keys each class is compared with
+   the one that has the fewest such tokens (the middle of a group of near
+   copies), and linked classes form groups.  A bucket of k classes costs k - 1
+   comparisons, however large the group is.
 3. Token-group matrix. Where a bucket still holds several groups, each class is
    a query against the other groups.  The matrix stores the union of the
    group's tokens; only a group that covers percent of the query's own tokens
@@ -164,16 +166,18 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple
     heavy = classes.where(F.col("copies") > max(HEAVY_LEAST, total // HEAVY_SHARE)).select("key", "label")
     once = signed.where("key IS NOT NULL").join(F.broadcast(heavy), "key", "left").where("label IS NULL OR doc_id = label")
     parts = once.select("key", F.explode("parts").alias("sig"))
-    buckets = parts.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("last"), F.count("*").alias("n"))
-    buckets = materialize(buckets.where("hub < last"))
-    wide = buckets.where("n > 2").select("sig", "hub")
-    members = materialize(parts.join(wide, "sig").where("key <> hub").select("sig", "hub", "key").distinct())
-    pairs = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).unionByName(members.select(F.col("hub").alias("a"), F.col("key").alias("b"))).distinct()
-    pairs = materialize(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = nodes.join(classes, "key").select("key", F.col("label").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    buckets = parts.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+    buckets = materialize(buckets.where("lo < hi"))
+    wide = parts.join(buckets.where("n > 2").select("sig"), "sig").select("sig", "key").distinct()
+    narrow = buckets.where("n = 2").select("sig", F.explode(F.array("lo", "hi")).alias("key"))
+    members = materialize(wide.unionByName(narrow))
+    nodes = members.select("key").distinct()
+    wanted = nodes.join(classes, "key").select(F.col("label").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = materialize(_token_sets(texts, n).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))
+    members = materialize(_able(members.withColumn("root", F.col("key")), sets, percent, False).drop("root"))
+    hubs = members.groupBy("sig").agg(F.min(F.struct("alone", "key")).alias("hub")).select("sig", F.col("hub.key").alias("a"))
+    pairs = members.join(hubs, "sig").where("a <> key").select("a", F.col("key").alias("b")).distinct()
     links = materialize(_verified(pairs, sets, percent))
     groups = components(links)
     links = links.unionByName(_across_groups(members, groups, sets, percent))
@@ -185,24 +189,49 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple
     return out.select(*keep, "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _able(rows: DataFrame, sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
+    """rows (sig, key, root) that can have a partner in another group, with ``alone``.
+
+    alone counts the tokens that no other group has.  They are in no
+    intersection with another group, so a set with too many of them, for its
+    size and the least size in its buckets, links with no other group.
+    """
+    sized = rows.join(sets.select("key", F.size("tokens").alias("size")), "key")
+    least = sized.groupBy("sig").agg(F.min("size").alias("least"))
+    known = sized.join(least, "sig").groupBy("key", "root", "size").agg(F.min("least").alias("least"))
+    tokens = sets.join(known.select("key", "root"), "key").select("key", "root", F.explode("tokens").alias("token"))
+    if grouped:
+        single = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("token")
+        own = tokens.join(single, "token").groupBy("key").agg(F.count("*").alias("alone"))
+    else:
+        single = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+        own = single.groupBy("key").agg(F.count("*").alias("alone"))
+    able = known.join(own, "key", "left").na.fill(0, ["alone"])
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
+    able = able.where((100 + percent) * (F.col("size") - F.col("alone")) >= percent * (F.col("size") + partner))
+    return rows.join(able.select("key", "alone"), "key")
+
+
 def _across_groups(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups that share a bucket, by the token-group matrix."""
-    rows = members.select("sig", "key").unionByName(members.select("sig", F.col("hub").alias("key"))).distinct()
-    rows = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    present = rows.select("sig", "root").distinct()
-    mixed = present.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    present = materialize(present.join(mixed, "sig"))
-    queries = rows.join(mixed, "sig").join(present.withColumnRenamed("root", "group"), "sig").where("`group` < root").select("key", "group").distinct()
-    queries = materialize(queries)
+    """Links between groups that share a bucket, by the token-group matrix.
+
+    The query asks a group for as many common tokens as its size and the least
+    size in the group demand of a linked pair.
+    """
+    rows = members.select("sig", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    rows = materialize(_able(rows.join(mixed, "sig"), sets, percent, True).drop("alone"))
+    present = rows.select("sig", F.col("root").alias("group")).distinct()
+    queries = materialize(rows.join(present, "sig").where("`group` < root").select("key", "group").distinct())
     inside = groups.select(F.col("root").alias("group"), F.col("node").alias("key"))
-    alone = queries.select("group").join(groups.select(F.col("root").alias("group")).distinct(), "group", "left_anti").distinct().select("group", F.col("group").alias("key"))
-    inside = inside.join(queries.select("group").distinct(), "group", "left_semi").unionByName(alone)
+    alone = queries.select("group").distinct().join(groups.select(F.col("root").alias("group")).distinct(), "group", "left_anti").select("group", F.col("group").alias("key"))
+    inside = materialize(inside.join(queries.select("group").distinct(), "group", "left_semi").unionByName(alone).join(sets.select("key", F.size("tokens").alias("size")), "key"))
+    least = inside.groupBy("group").agg(F.min("size").alias("least"))
     matrix = inside.join(sets, "key").select("group", F.explode("tokens").alias("token")).distinct()
-    asked = queries.join(sets, "key").select("key", "group", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    shared = asked.join(matrix, ["group", "token"]).groupBy("key", "group", "n").agg(F.count("*").alias("shared"))
-    opened = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("key", "group")
-    size = sets.select("key", F.size("tokens").alias("n"))
-    pairs = opened.join(inside.withColumnRenamed("key", "b"), "group").select(F.col("key").alias("a"), "b").distinct()
-    pairs = pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    asked = queries.join(least, "group").join(sets, "key").select("key", "group", "least", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    shared = asked.join(matrix, ["group", "token"]).groupBy("key", "group", "n", "least").agg(F.count("*").alias("shared"))
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+    opened = shared.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + partner)).select("key", "group", "n")
+    pairs = opened.join(inside.select("group", F.col("key").alias("b"), "size"), "group")
+    pairs = pairs.where(f"100 * least(n, size) >= {percent} * greatest(n, size)").select(F.col("key").alias("a"), "b").distinct()
     return materialize(_verified(pairs, sets, percent))
