@@ -27,14 +27,12 @@ import hashlib
 import json
 import re
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from swarmframe.llm.annotate import annotate
-from swarmframe.llm.textbuf import text_buffer
 
 #: Entries that a worker's tables may hold before they start afresh.
-WORDS_KEPT = 250_000
+PIECES_KEPT = 300_000
 ARCS_KEPT = 400_000
 
 
@@ -46,11 +44,13 @@ def _byte_symbols() -> dict[int, str]:
 
 
 BYTE_SYMBOL = _byte_symbols()
+SYMBOL_BYTE = {ord(c): b for b, c in BYTE_SYMBOL.items()}
 #: Letters of Latin-1 and Latin Extended-A that normal form C and lower-casing treat one by one.
 _LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The file's own rule for words, and the same for those letters.
 _LATIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: In UTF-8 after lower-casing: every byte from 0x80 is part of such a letter.
+_LATIN_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\t-\r a-z0-9\x80-\xff]+")
 
 
 class MergeAutomaton:
@@ -67,21 +67,19 @@ class MergeAutomaton:
             a, b, w = vocab[u], vocab[v], vocab[u + v]
             self.rank[a * size + b] = k
             self.left[w], self.right[w], self.born[w] = a, b, k
-        # the trie of labels over symbols: node * n_symbols + symbol -> node; final: node -> token
-        self.symbol: dict[str, int] = {}
-        self.trie: dict[tuple[int, int], int] = {}
-        self.final: dict[int, int] = {}
-        nodes = 1
-        for token, i in sorted(vocab.items(), key=lambda x: x[1]):
-            at = 0
-            for s in self.symbols(token):
-                key = (at, self.symbol.setdefault(s, len(self.symbol)))
-                if key not in self.trie:
-                    self.trie[key] = nodes
-                    nodes += 1
-                at = self.trie[key]
-            if self.born[i] >= 0 or len(self.symbols(token)) == 1:
-                self.final[at] = i
+        # labels inside a word and at its end (without the suffix), and the longest of them
+        self.inner: dict[str, int] = {}
+        self.last: dict[str, int] = {}
+        for token, i in vocab.items():
+            n = len(self.symbols(token))
+            if self.born[i] >= 0 or n == 1:
+                if suffix and token.endswith(suffix) and token != suffix:
+                    self.last[token[: -len(suffix)]] = i
+                else:
+                    self.inner[token] = i
+        if not suffix:
+            self.last = self.inner
+        self.longest = max(map(len, [*self.inner, *self.last]), default=1)
         self.table: dict[int, bool] = {}
 
     def symbols(self, token: str) -> list[str]:
@@ -116,34 +114,53 @@ class MergeAutomaton:
             else:
                 time, t = min(time, born[t]), self.right[t]
 
+    def encode_sorted(self, pieces: list[str]) -> list[list[int]]:
+        """Token ids of pre-split words in ascending order; a word goes on from its prefix in the word before.
+
+        state[j] is the one token that ends at j on an allowed path, come[j] where it begins.
+        """
+        out, state, come, before = [], [-1], [0], ""
+        inner, last, table, size, longest = self.inner.get, self.last.get, self.table, self.size, self.longest
+        for piece in pieces:
+            n = len(piece)
+            same = 0
+            for x, y in zip(before, piece, strict=False):
+                if x != y:
+                    break
+                same += 1
+            same = min(same, n - 1, len(state) - 1)
+            del state[same + 1 :], come[same + 1 :]
+            before = piece
+            for j in range(same + 1, n + 1):
+                label = last if j == n else inner
+                for i in range(max(0, j - longest), j):
+                    x = label(piece[i:j])
+                    if x is None:
+                        continue
+                    if i:
+                        t = state[i]
+                        ok = table.get(t * size + x)
+                        if ok is None:
+                            ok = self.arc(t, x)
+                        if not ok:
+                            continue
+                    state.append(x)
+                    come.append(i)
+                    break
+                else:
+                    raise ValueError(f"no path for {piece!r}")
+            ids, at = [], n
+            while at:
+                ids.append(state[at])
+                at = come[at]
+            out.append(ids[::-1])
+            # the last state used the labels of a word's end
+            del state[n:], come[n:]
+        return out
+
     def encode(self, piece: str) -> list[int]:
         """Token ids of one pre-split word."""
-        symbols = list(piece)
-        if self.suffix:
-            symbols[-1] += self.suffix
-        codes = [self.symbol.get(s, -1) for s in symbols]
-        n = len(codes)
-        state, come = [-1] * (n + 1), [0] * (n + 1)
-        trie, final = self.trie, self.final
-        for i in range(n):
-            here = state[i]
-            if i and here < 0:
-                continue
-            node = 0
-            for j in range(i, n):
-                node = trie.get((node, codes[j]), -1)
-                if node < 0:
-                    break
-                x = final.get(node, -1)
-                if x >= 0 and state[j + 1] < 0 and (i == 0 or self.arc(here, x)):
-                    state[j + 1], come[j + 1] = x, i
-        if n and state[n] < 0:
-            raise ValueError(f"no path for {piece!r}")
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at = come[at]
-        return out[::-1]
+        return self.encode_sorted([piece])[0] if piece else []
 
 
 class Encoder:
@@ -162,68 +179,62 @@ class Encoder:
         self._special = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         #: whether the file splits and lowers words as _LATIN_PIECE does
         self._latin = _LATIN_RULE in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
-        self._pieces: dict[str, list[int]] = {}
-        self._words: dict[bytes, tuple[int, bytes, bytes]] = {}
-
-    def encode_word(self, word: str) -> list[int]:
-        """ids of a text without ASCII white space."""
-        ids, at = [], 0
-        for m in self._special.finditer(word):
-            ids += self._plain(word[at : m.start()])
-            ids.append(self.special[m[0]])
+        self._pieces: dict[bytes | int, tuple[bytes, bytes]] = {}
+        self._decimal = {i: f" {i}".encode() for i in self.labels}
+        self._spaced = {i: f" {t}".encode() for i, t in self.labels.items()}
+
+    def _cut(self, text: str) -> list[bytes | int]:
+        """Pre-split words (UTF-8) and ids of special tokens of a text."""
+        out, at = [], 0
+        for m in self._special.finditer(text) if "<|" in text else ():
+            out += [*self._split(text[at : m.start()]), self.special[m[0]]]
             at = m.end()
-        return ids + self._plain(word[at:])
-
-    def _plain(self, word: str) -> list[int]:
-        if not word:
-            return []
-        ids = []
-        for piece in self._split(word):
-            known = self._pieces.get(piece)
-            if known is None:
-                if len(self._pieces) >= WORDS_KEPT:
-                    self._pieces.clear()
-                known = self._pieces[piece] = self.automaton.encode(piece)
-            ids += known
-        return ids
-
-    def _split(self, word: str) -> list[str]:
-        """Pre-split words in byte-level symbols; plain Latin words without a call of the library."""
-        if self._latin and _LATIN.fullmatch(word):
-            return [p.encode().decode("latin-1").translate(BYTE_SYMBOL) for p in _LATIN_PIECE.findall(word.lower())]
+        return out + self._split(text[at:])
+
+    def _split(self, text: str) -> list[bytes]:
+        """Pre-split words; those of Latin texts without a call of the library."""
+        if self._latin and _LATIN.fullmatch(text):
+            return _LATIN_PIECE.findall(text.lower().encode())
         library = self.library
-        normal = library.normalizer.normalize_str(word) if library.normalizer else word
-        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(normal)]
+        normal = library.normalizer.normalize_str(text) if library.normalizer else text
+        return [p.translate(SYMBOL_BYTE).encode("latin-1") for p, _ in library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def word(self, word: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, their decimals and their labels, each led by a space."""
-        known = self._words.get(word)
-        if known is None:
-            if len(self._words) >= WORDS_KEPT:
-                self._words.clear()
-            ids = self.encode_word(word.decode("utf-8"))
-            known = self._words[word] = (len(ids), "".join(f" {i}" for i in ids).encode(), "".join(f" {self.labels[i]}" for i in ids).encode())
-        return known
+    def learn(self, pieces: set[bytes]) -> None:
+        """Put pre-split words into the table of entries."""
+        named = sorted((p.decode("latin-1").translate(BYTE_SYMBOL), p) for p in pieces)
+        ids = self.automaton.encode_sorted([n for n, _ in named])
+        self._pieces.update((p, self._entry(i)) for (_, p), i in zip(named, ids, strict=True))
 
-    def digests(self, data: bytes, offsets: np.ndarray) -> dict[str, list]:
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """The ids' decimals and their labels, each led by a space."""
+        labels, decimal = self._spaced, self._decimal
+        return b"".join([decimal[i] for i in ids]), b"".join([labels[i] for i in ids])
+
+    def digests(self, texts: list[str]) -> dict[str, list]:
         """n_tokens, ids_sha256, decoded_sha256 of each text."""
         counts, ids_digest, text_digest = [], [], []
-        get, miss = self._words.get, self.word
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            found = [get(w) or miss(w) for w in data[a:b].split()]
-            if found:
-                n, ids, labels = zip(*found, strict=True)
-                counts.append(sum(n))
-                ids_digest.append(hashlib.sha256(b"".join(ids)[1:]).hexdigest())
-                text_digest.append(hashlib.sha256(b"".join(labels)[1:]).hexdigest())
-            else:
-                counts.append(0)
-                ids_digest.append(hashlib.sha256(b"").hexdigest())
-                text_digest.append(hashlib.sha256(b"").hexdigest())
+        cut = [self._cut(t) for t in texts]
+        if len(self._pieces) >= PIECES_KEPT:
+            self._pieces.clear()
+        new: set[bytes] = set()
+        for pieces in cut:
+            new.update(pieces)
+        self.learn({p for p in new if isinstance(p, bytes) and p not in self._pieces})
+        self._pieces.update((i, self._entry([i])) for i in self.special.values())
+        get = self._pieces.__getitem__
+        for pieces in cut:
+            ids, labels = zip(*map(get, pieces), strict=True) if pieces else ((), ())
+            whole = b"".join(ids)
+            counts.append(whole.count(b" "))
+            ids_digest.append(hashlib.sha256(whole[1:]).hexdigest())
+            text_digest.append(hashlib.sha256(b"".join(labels)[1:]).hexdigest())
         return {"n_tokens": counts, "ids_sha256": ids_digest, "decoded_sha256": text_digest}
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in text.encode().split() for i in self.encode_word(w.decode())]
+        out = []
+        for p in self._cut(text):
+            out += [p] if isinstance(p, int) else self.automaton.encode(p.decode("latin-1").translate(BYTE_SYMBOL))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined as the library does without a decoder."""
@@ -254,8 +265,8 @@ def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("
     """
 
     def run(part):
-        data, offsets = text_buffer(part.column("text"))
-        return encoder(path or default_path()).digests(data.tobytes(), offsets)
+        texts = part.column("text").to_pylist()
+        return encoder(path or default_path()).digests([t or "" for t in texts])
 
     return annotate(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmframe.llm.store import materialize
+from swarmframe.llm.textbuf import slices
 
 MAGIC, VERSION = b"SFWM", 1
 #: A shard ends with the document that brings it to so many ids.
@@ -54,7 +55,7 @@ class WaveletMatrix:
         for k in range(self.depth - 1, -1, -1):
             bit = ((level >> k) & 1).astype(bool)
             self.planes.append(bit)
-            level = np.concatenate([level[~bit], level[bit]])
+            level = np.concatenate([np.compress(~bit, level), np.compress(bit, level)])
         self._ranks: list[np.ndarray] | None = None
 
     # ------------------------------------------------------------- the file
@@ -98,8 +99,8 @@ class WaveletMatrix:
         for k, bit in enumerate(reversed(self.planes)):
             zeros = self.n - int(np.count_nonzero(bit))
             back = np.empty_like(level)
-            back[~bit] = level[:zeros]
-            back[bit] = level[zeros:] | level.dtype.type(1 << k)
+            back[np.flatnonzero(~bit)] = level[:zeros]
+            back[np.flatnonzero(bit)] = level[zeros:] | level.dtype.type(1 << k)
             level = back
         return self.alphabet[level]
 
@@ -151,19 +152,18 @@ class WaveletMatrix:
 
 # --------------------------------------------------------------- tokenizing
 
-#: White space beyond ASCII's and controls that regular expressions classify differently.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_LETTER = "A-Za-zÀ-ÖØ-öø-ʯ"
-_PLAIN = re.compile(f"[\x00-\x7f{_LETTER}]*")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: ASCII without the controls that regular expressions classify differently, and Latin letters.
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
+#: The library's pattern in UTF-8: every byte from 0x80 is part of such a letter.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
 
 
 class IdEncoder:
     """Whole texts to ids with the tokenizers library; a piece that came before is looked up.
 
     The library splits a text by its pattern and encodes each piece by itself, so
-    ids of pieces can be kept.  Texts with letters beyond Latin, unusual white space
-    or a special token's string go to the library whole.
+    ids of pieces can be kept.  Texts with letters beyond Latin, controls or a
+    special token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -172,20 +172,28 @@ class IdEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
+    def _learn(self, pieces: list[bytes]) -> None:
+        found = [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+        at = np.cumsum([0, *map(len, found)]).tolist()
+        packed = np.array([i for ids in found for i in ids], self.dtype).tobytes()
+        w = self.dtype.itemsize
+        self.pieces.update((p, packed[w * a : w * b]) for p, a, b in zip(pieces, at[:-1], at[1:], strict=True))
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of each text."""
         if len(self.pieces) >= PIECES_KEPT:
             self.pieces.clear()
-        ids = self.library.encode(piece, add_special_tokens=False).ids
-        known = self.pieces[piece] = np.array(ids, self.dtype).tobytes()
-        return known
-
-    def ids(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and not _ODD.search(text) and not any(s in text for s in self.special):
-            get, miss = self.pieces.get, self._piece
-            return np.frombuffer(b"".join([get(p) or miss(p) for p in _PIECE.findall(text)]), self.dtype)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        cut = [_PIECE.findall(t.encode()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        new: set[bytes] = set()
+        for pieces in cut:
+            new.update(pieces or ())
+        self._learn([p for p in new if p not in self.pieces])
+        get = self.pieces.__getitem__
+        whole = [t for t, pieces in zip(texts, cut, strict=True) if pieces is None]
+        other = iter(self.library.encode_batch(whole, add_special_tokens=False))
+        return [np.array(next(other).ids, self.dtype) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), self.dtype) for pieces in cut]
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -216,7 +224,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(path).ids
+        encode = id_encoder(path).many
         end = np.array([END_ID], dtype=id_encoder(path).dtype)
         part, seq = TaskContext.get().partitionId(), 0
         ids, names, size = [], [], 0
@@ -230,10 +238,11 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(encode(text))
+            found = ((d, x) for p in slices(batch) for d, x in zip(p.column(0).to_pylist(), encode(p.column(1).to_pylist()), strict=True))
+            for doc_id, coded in found:
+                ids.append(coded)
                 names.append(doc_id)
-                size += len(ids[-1]) + 1
+                size += len(coded) + 1
                 if size >= shard_ids:
                     yield shard()
                     ids, names, size, seq = [], [], 0, seq + 1
