@@ -18,11 +18,13 @@ def annotate(
     fields: str,
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
+    finish: Callable[[list[dict[str, object]]], None] | None = None,
 ) -> DataFrame:
     """``keep`` of docs, then the columns that ``function`` makes of each slice.
 
     function: gets a RecordBatch of ``keep`` and ``text`` with about a megabyte of
     text, returns arrays by field name.  fields: their names and types as DDL.
+    finish: may complete what the slices of one Arrow batch have made, all together.
     Other columns of docs are not read, so their names may clash with anything.
     """
     added = T.StructType.fromDDL(fields)
@@ -34,8 +36,12 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                made = function(part)
+            parts = list(slices(batch, text))
+            results = map(function, parts)
+            if finish:
+                results = list(results)
+                finish(results)
+            for part, made in zip(parts, results, strict=True):
                 columns = [part.column(c).cast(arrow.field(i).type) for i, c in enumerate(keep)]
                 columns += [pa.array(made[n], type=arrow.field(len(keep) + i).type) for i, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
