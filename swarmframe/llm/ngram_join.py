@@ -165,12 +165,10 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple
     total = classes.agg(F.sum("copies")).first()[0] or 0
     heavy = classes.where(F.col("copies") > max(HEAVY_LEAST, total // HEAVY_SHARE)).select("key", "label")
     once = signed.where("key IS NOT NULL").join(F.broadcast(heavy), "key", "left").where("label IS NULL OR doc_id = label")
-    parts = once.select("key", F.explode("parts").alias("sig"))
-    buckets = parts.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
-    buckets = materialize(buckets.where("lo < hi"))
-    wide = parts.join(buckets.where("n > 2").select("sig"), "sig").select("sig", "key").distinct()
-    narrow = buckets.where("n = 2").select("sig", F.explode(F.array("lo", "hi")).alias("key"))
-    members = materialize(wide.unionByName(narrow))
+    # one exchange serves both the search for shared keys and the rows that have them
+    parts = once.select("key", F.explode("parts").alias("sig")).repartition("sig")
+    shared = parts.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("sig")
+    members = materialize(parts.join(shared.hint("shuffle_hash"), "sig").select("sig", "key").distinct())
     nodes = members.select("key").distinct()
     wanted = nodes.join(classes, "key").select(F.col("label").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
