@@ -34,6 +34,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _delete_on_exit(spark, path)
+    # shuffles of the finished query go when the driver's JVM collects their handles; ask for it now
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
