@@ -13,17 +13,28 @@ from swarmframe.llm import bpe_automaton, mixing, ngram_join, quality_rules, tox
 from swarmframe.llm.store import labelled_sample, materialize, table
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names that clash with no operator's, and the own name of each."""
+    names = {c if c == "text" else f"_in{k}": c for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
+def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for n, c in names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict as toxic."""
     model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, toxicity.LABELLED_BOUND))
-    kept = toxicity.apply(docs.select(*docs.columns), model, tuple(docs.columns))
-    return kept.where("predicted = 0").select(*docs.columns)
+    plain, names = _plain(docs)
+    return _named(toxicity.apply(plain, model, tuple(names)).where("predicted = 0"), names)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     model = quality_rules.fit(docs, labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 0, 0, quality_rules.LABELLED_BOUND))
-    return quality_rules.apply(docs, model, tuple(docs.columns)).where("kept").select(*docs.columns)
+    plain, names = _plain(docs)
+    return _named(quality_rules.apply(plain, model, tuple(names)).where("kept"), names)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

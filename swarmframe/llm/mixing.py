@@ -104,14 +104,15 @@ def repeated(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     Columns of docs stay as they are; a document that the mix leaves out has no row.
     """
     columns = docs.columns
-    mixed = mix(docs.select("doc_id", "text", "source", *[c for c in columns if c not in ("doc_id", "text", "source")]), weight, tuple(columns))
+    # the row goes along as one column, so its names can't clash with the mix's own
+    mixed = mix(docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in columns]).alias("_row")), weight, ("_row",))
     whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1)))
     rest = F.col("taken") - whole * F.col("size")
     cut = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), cut)
     rows = mixed.withColumn("_words", F.explode(copies))
     # one part for each word with the white space after it; the limit leaves all further words in the last part
-    pieces = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", (F.col("_words") + 1).cast("int"))
+    pieces = F.split(F.regexp_replace(F.col("_row")["text"], r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", (F.col("_words") + 1).cast("int"))
     first = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_words"), F.lit(0)).cast("int")), "")
-    kept = {"text": F.when(F.col("_words") < 0, F.col("text")).otherwise(first)}
-    return rows.select(*[kept.get(c, F.col(c)).alias(c) for c in columns])
+    text = F.when(F.col("_words") < 0, F.col("_row")["text"]).otherwise(first)
+    return rows.select(*[(text if c == "text" else F.col("_row")[c]).alias(c) for c in columns])
