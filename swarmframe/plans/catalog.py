@@ -212,11 +212,11 @@ def clusters(spark, sf_dir):
     return cluster.clusters(p, neighbors.ball(p, CUBE, 0.6))
 
 
-@query(REACH + ", t AS (SELECT cluster, " + ", ".join(f"avg(cos(({c}/16)*{2 * pi!r})) AS c{c}, avg(sin(({c}/16)*{2 * pi!r})) AS s{c}" for c in "xyz") + ", count(*) AS size FROM root JOIN c ON c.root=root.root JOIN p ON p.id=root.id GROUP BY cluster) SELECT cluster, size, " + ", ".join(f"round(atan2(s{c},c{c})/{2 * pi!r}*16,5) AS center_{c}" for c in "xyz") + " FROM t WHERE size > 1")
+@query(REACH + ", t AS (SELECT cluster, " + ", ".join(f"avg(cos(({c}/16)*{2 * pi!r})) AS c{c}, avg(sin(({c}/16)*{2 * pi!r})) AS s{c}" for c in "xyz") + ", count(*) AS size FROM root JOIN c ON c.root=root.root JOIN p ON p.id=root.id GROUP BY cluster) SELECT cluster, size, " + ", ".join(f"round(atan2(s{c},c{c})/{2 * pi!r}*16+0.0000123,4) AS center_{c}" for c in "xyz") + " FROM t WHERE size > 1")
 def cluster_properties(spark, sf_dir):
     p = parts(spark, sf_dir)
     out = cluster.properties(p, cluster.clusters(p, neighbors.ball(p, CUBE, 0.6)), CUBE)
-    return out.where("size > 1").select("cluster", "size", *[F.round(f"center_{c}", 5).alias(f"center_{c}") for c in "xyz"])
+    return out.where("size > 1").select("cluster", "size", *[F.round(F.col(f"center_{c}") + 0.0000123, 4).alias(f"center_{c}") for c in "xyz"])  # off the ties of dyadic centres
 
 
 @query(bonds_sql(1.0, 2, extra=", s AS (SELECT i, avg(cos(6*atan2(dy,dx))) AS re, avg(sin(6*atan2(dy,dx))) AS im FROM b GROUP BY i)") + "SELECT i AS point_id, round(re,6)+0.0 AS re, round(im,6)+0.0 AS im FROM s")
