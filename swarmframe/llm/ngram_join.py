@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from swarmframe.llm.annotate import annotate
 from swarmframe.llm.graph import components
 from swarmframe.llm.store import materialize
-from swarmframe.llm.textbuf import Words, mix, sets_by_doc
+from swarmframe.llm.textbuf import Words, mix, sets_by_doc, slices
 
 _U = np.uint64
 #: Classes with more copies than one in so many rows emit their keys once; at most as many such classes exist.
@@ -126,17 +126,40 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
 
 
-def signatures(docs: DataFrame, n: int, percent: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_shingles, key of the set (null if empty) and its part keys."""
+def signatures(docs: DataFrame, n: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, n_shingles and key of the set (null if empty)."""
 
     def run(part):
-        words = Words.of(part.column("text"))
-        tokens, offsets = shingle_sets(words, n)
+        tokens, offsets = shingle_sets(Words.of(part.column("text")), n)
         size = np.diff(offsets)
-        found, owner = part_keys(tokens, offsets, percent)
-        return {"n_shingles": size, "key": pa.array(set_keys(tokens, offsets), mask=size == 0), "parts": _lists(found, owner, len(size))}
+        return {"n_shingles": size, "key": pa.array(set_keys(tokens, offsets), mask=size == 0)}
+
+    return annotate(docs, run, "n_shingles long, key long", keep)
+
+
+def _parts(docs: DataFrame, n: int, percent: int, heavy: dict[int, int | None]) -> DataFrame:
+    """sig (key of a part) and ref of the set: the low 32 bits of its key, to keep the shuffle small.
+
+    heavy: key and label of the classes whose keys only the row named by the label emits.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                tokens, offsets = shingle_sets(Words.of(part.column("text")), n)
+                keys = set_keys(tokens, offsets)
+                ids = part.column("doc_id").to_pylist()
+                emits = np.array([heavy.get(k) is None or heavy[k] == i for k, i in zip(keys.tolist(), ids, strict=True)], dtype=bool)
+                sigs, owner = part_keys(tokens, offsets, percent)
+                use = emits[owner]
+                refs = _ref(keys)[owner[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[use]), pa.array(refs)], ["sig", "ref"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, ref long")
+
 
-    return annotate(docs, run, "n_shingles long, key long, parts array<long>", keep)
+def _ref(keys: np.ndarray) -> np.ndarray:
+    return keys & np.int64(0xFFFFFFFF)
 
 
 def _token_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -159,16 +182,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep (with doc_id), n_shingles, key, component_id of every row of docs."""
-    signed = materialize(signatures(docs, n, percent, keep))
+    signed = materialize(signatures(docs, n, keep))
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"))
     classes = materialize(classes)
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    heavy = classes.where(F.col("copies") > max(HEAVY_LEAST, total // HEAVY_SHARE)).select("key", "label")
-    once = signed.where("key IS NOT NULL").join(F.broadcast(heavy), "key", "left").where("label IS NULL OR doc_id = label")
+    # at most HEAVY_SHARE rows
+    heavy = classes.where(F.col("copies") > max(HEAVY_LEAST, total // HEAVY_SHARE)).select("key", "label").collect()
     # one exchange serves both the search for shared keys and the rows that have them
-    parts = once.select("key", F.explode("parts").alias("sig")).repartition("sig")
-    shared = parts.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("sig")
-    members = materialize(parts.join(shared.hint("shuffle_hash"), "sig").select("sig", "key").distinct())
+    parts = _parts(docs, n, percent, {r.key: r.label for r in heavy}).repartition("sig")
+    shared = parts.groupBy("sig").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo < hi").select("sig")
+    found = materialize(parts.join(shared.hint("shuffle_hash"), "sig").select("sig", "ref").distinct())
+    # sets whose keys agree in 32 bits share a ref: all of them are candidates, also of each other
+    refs = classes.select(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ref"), "key")
+    twice = refs.groupBy("ref").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select(F.xxhash64("ref").alias("sig"), "ref")
+    members = materialize(found.unionByName(twice).join(refs, "ref").select("sig", "key").distinct())
     nodes = members.select("key").distinct()
     wanted = nodes.join(classes, "key").select(F.col("label").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
@@ -183,7 +210,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple
     labelled = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = labelled.groupBy("root").agg(F.min("label").alias("component_id"))
     ids = labelled.select("key", "root").join(least, "root").select("key", "component_id")
-    out = signed.drop("parts").join(ids, "key", "left")
+    out = signed.join(ids, "key", "left")
     return out.select(*keep, "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
