@@ -13,6 +13,7 @@ presence (u8), and the planes (bits from the lowest).
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -173,12 +174,22 @@ class IdEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces: dict[bytes, bytes] = {}
+        #: A special token with a space could be made of two joined pieces.
+        self.joins = not any(" " in t for t in self.special)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
-        at = np.cumsum([0, *map(len, found)]).tolist()
-        packed = np.array([i for ids in found for i in ids], self.dtype).tobytes()
-        w = self.dtype.itemsize
+        """Keep the ids of pieces; those that a space leads are cut apart again in one joined text."""
+        led = [p for p in pieces if p[:1] == b" " and not p.isspace()] if self.joins else []
+        if led:
+            found = self.library.encode(b"".join(led).decode(), add_special_tokens=False)
+            at = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(led) + 1)).tolist()
+            self._keep(led, at, np.array(found.ids, self.dtype))
+        alone = [p for p in pieces if p not in self.pieces]
+        each = [e.ids for e in self.library.encode_batch([p.decode() for p in alone], add_special_tokens=False)]
+        self._keep(alone, np.cumsum([0, *map(len, each)]).tolist(), np.array([i for ids in each for i in ids], self.dtype))
+
+    def _keep(self, pieces: list[bytes], at: list[int], ids: np.ndarray) -> None:
+        packed, w = ids.tobytes(), self.dtype.itemsize
         self.pieces.update((p, packed[w * a : w * b]) for p, a, b in zip(pieces, at[:-1], at[1:], strict=True))
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
@@ -205,6 +216,7 @@ def id_encoder(path: str | None) -> IdEncoder:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path] = IdEncoder(path)
     return _encoders[path]
 
