@@ -95,6 +95,15 @@ def test_language_model(docs, edge, empty):
     assert scored[0] > scored[1]
 
 
+def test_language_model_learns_from_all_texts(spark):
+    rows = [(i, f"the w{i} stays here") for i in range(2_700)]
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    model = language_model.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), epochs=1)
+    assert len(model.vocabulary.keys) == len(train) + 4 == model.gru.head
+    moved = (model.gru.p["emb"] != language_model.Gru(model.gru.head).p["emb"]).any(axis=1)
+    assert moved[1 : model.gru.head].all()
+
+
 def test_gru_sums_to_one():
     g = language_model.Gru(70)
     h = np.random.default_rng(0).standard_normal((3, language_model.HIDDEN)).astype(np.float32)
