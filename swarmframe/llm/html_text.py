@@ -2,9 +2,10 @@
 
 Every block of text passes points for its length and its commas, discounted by
 its link density, to the container it stands in and, in falling shares, to that
-one's ancestors.  The container with the most points and its siblings that
-score well (or are plain prose) are kept; their blocks, in page order, are the
-text.  Parts that are never the article (menus, headers, footers, sidebars,
+one's ancestors.  The container with the most points is kept, and so is all that
+stands around it without being mostly links: in the page's main element, or
+beside its outermost article, or else anywhere.  The kept blocks, in page order,
+are the text.  Parts that are never the article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are cut out first, by
 tag, role, or a word of their class or id.
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from swarmframe.llm.annotate import annotate
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +45,8 @@ DROPPED_WORDS = frozenset(
 #: What a container's own tag is worth.
 TAG_POINTS = {"article": 12.0, "main": 10.0, "section": 3.0, "div": 2.0}
 SHARES = (1.0, 0.5, 0.25, 0.125)
-SIBLING_SHARE = 0.2
+#: A part around the best container with so large a share of its letters in links is left out.
+MOST_LINKED = 0.5
 
 
 class _Node:
@@ -208,6 +210,22 @@ def _blocks(node: _Node, out: list[_Block]) -> list[_Block]:
     return out
 
 
+def _letters(nodes: list[_Node]) -> dict[_Node, list[float]]:
+    """Length of the text below each node, and of that in links; nodes: parents before children."""
+    found = {at: [0.0, 0.0] for at in nodes}
+    for at in reversed(nodes):
+        own = found[at]
+        for child in at.children:
+            if isinstance(child, _Block):
+                own[0] += len(child.text)
+                own[1] += len(child.text) * child.linked
+        if at.parent is not None:
+            up = found[at.parent]
+            up[0] += own[0]
+            up[1] += own[1]
+    return found
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -218,21 +236,35 @@ def extract(page: str | None) -> str:
     best = max(nodes, key=lambda n: n.points)
     if best.points <= 0:
         return ""
-    kept: list[_Block] = []
-    if best.parent is None:
-        _blocks(best, kept)
+    around: set[_Node | _Block] = {best}  # the best container and those that it lies in
+    top = best if best.tag in ("article", "main") else None
+    up = best.parent
+    while up is not None:
+        around.add(up)
+        if up.tag in ("article", "main"):
+            top = up
+        up = up.parent
+    if top is None:
+        scope = root
     else:
-        for other in best.parent.children:
-            if other is best:
+        scope = top if top.tag == "main" and top is not best else top.parent
+    letters = _letters(nodes)
+    kept: list[_Block] = []
+    todo: list[_Node | _Block] = [scope]
+    while todo:
+        at = todo.pop()
+        if at is best or at not in around:
+            _blocks(at, kept)
+            continue
+        for child in reversed(at.children):
+            if child in around:
                 good = True
-            elif isinstance(other, _Node):
-                own = _blocks(other, [])
-                size = sum(len(b.text) for b in own)
-                good = size > 0 and other.points >= max(10.0, SIBLING_SHARE * best.points) and sum(len(b.text) * b.linked for b in own) < size / 2
+            elif isinstance(child, _Node):
+                good = letters[child][1] < MOST_LINKED * letters[child][0]
             else:
-                good = other.linked < 0.25 and len(other.text) > 80
+                good = child.linked < MOST_LINKED
             if good:
-                _blocks(other, kept)
+                todo.append(child)
     return "\n".join(b.text for b in kept)
 
 

@@ -47,6 +47,19 @@ def test_html():
     assert html_text.extract(None) == "" and html_text.extract("<nav>a</nav>") == ""
 
 
+def test_html_keeps_all_of_an_article():
+    long = "".join(f"<p>Line {k}, one, two, three of a long section.</p>" for k in range(10))
+    menu = '<div><a href="/a">Home</a> <a href="/b">All pages</a></div>'
+    article = f"<h1>Title</h1><p>Lead</p><section>{long}</section><section><p>Short end.</p></section>"
+    want = ["Title", "Lead", *[f"Line {k}, one, two, three of a long section." for k in range(10)], "Short end."]
+    for page in (f"<body>{menu}<article>{article}</article>", f"<body>{menu}<main>{article}</main>", f"<body>{menu}<div>{article}</div>", f"<body>{menu}<div><h1>Title</h1><p>Lead</p><div><section>{long}</section></div><div>Short end.</div></div>"):
+        assert html_text.extract(page).split("\n") == want
+    for attributes in ('style="overflow:hidden"', "data-hidden='1'", "data-role=menu", 'title="class=nav"', "data-class=ad", "href=/id=menu"):
+        assert html_text.extract(f"<article><div {attributes}>Some text, kept.</div></article>") == "Some text, kept."
+    for attributes in ("hidden", "HIDDEN=''", 'data-x="1" aria-hidden=true', "Role='menu'", "CLASS=nav", 'style="a" id="side-menu"'):
+        assert html_text.extract(f"<article><p>Kept.</p><div {attributes}>Gone.</div></article>") == "Kept."
+
+
 def test_mixing(docs, edge, empty):
     for table in (docs, edge):
         rows = mixing.mix(table).collect()
