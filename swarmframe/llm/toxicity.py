@@ -8,7 +8,8 @@
    made deterministic by subset construction, giving one table of transitions.
    Forms that the sample's other documents use (a near miss that is a word of
    its own) are accepted as harmless in the same table.
-3. All words of a slice of texts run through the table at once.
+3. All words of a slice of texts run through the table at once, code point by
+   code point.  Words are cut by the Unicode letters that the lexicon is learned on.
 4. A hit is weighed by a window of eight words around it: inside quotation marks
    or beside a word of reporting it counts as quoted, otherwise as abuse.
 5. A logistic model of these counts, fitted on the same sample, gives the score.
@@ -129,17 +130,17 @@ class Automaton:
     next: np.ndarray
     accept: np.ndarray
     n_classes: int
-    #: classes 0: a byte that ends words
+    #: class of each code point; 0, the last one's too, is that of all that no entry uses
     lexicon: list[str] = field(default_factory=list)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The kind of acceptance of each span; all spans step at once, dead ones leave."""
+        """The kind of acceptance of each span of code points; all spans step at once, dead ones leave."""
         out = np.zeros(len(starts), dtype=np.int8)
         alive = np.arange(len(starts))
         at, last = starts.copy(), ends
         state = np.ones(len(starts), dtype=np.int32)
         while len(alive):
-            state = self.next[state * self.n_classes + self.classes[data[at]]]
+            state = self.next[state * self.n_classes + self.classes.take(data[at], mode="clip")]
             at = at + 1
             done = at >= last
             if done.any():
@@ -149,12 +150,12 @@ class Automaton:
         return out
 
 
-def _trie(words: list[bytes]) -> tuple[list[dict[int, int]], dict[int, bytes]]:
+def _trie(words: list[str]) -> tuple[list[dict[int, int]], dict[int, str]]:
     children: list[dict[int, int]] = [{}]
     final = {}
     for w in words:
         node = 0
-        for b in w:
+        for b in map(ord, w):
             if b not in children[node]:
                 children[node][b] = len(children)
                 children.append({})
@@ -165,18 +166,17 @@ def _trie(words: list[bytes]) -> tuple[list[dict[int, int]], dict[int, bytes]]:
 
 def build_automaton(words: list[str], stems: list[str], harmless: set[str]) -> Automaton:
     """Subset construction of (trie node, edits) for words, (trie node) for stems and exact forms."""
-    encoded = [w.encode() for w in words]
-    fuzzy = [w for w in encoded if len(w.decode()) >= FUZZY_LENGTH]
+    fuzzy = [w for w in words if len(w) >= FUZZY_LENGTH]
     near = _near_forms(fuzzy, harmless)
     ftrie, ffinal = _trie(fuzzy)
-    etrie, efinal = _trie(encoded)
-    strie, sfinal = _trie([s.encode() for s in stems])
+    etrie, efinal = _trie(words)
+    strie, sfinal = _trie(stems)
     htrie, hfinal = _trie(sorted(near))
     used = sorted({b for t in (ftrie, etrie, strie, htrie) for c in t for b in c})
-    classes = np.zeros(256, dtype=np.int32)
+    classes = np.zeros(max(used, default=0) + 2, dtype=np.int32)
     for k, b in enumerate(used):
         classes[b] = k + 1
-    n_classes = len(used) + 1  # class 0: every byte that no entry uses
+    n_classes = len(used) + 1  # class 0: every letter that no entry uses
 
     def closure(nodes: set[tuple[int, int]]) -> frozenset:
         out, todo = set(nodes), list(nodes)
@@ -189,16 +189,16 @@ def build_automaton(words: list[str], stems: list[str], harmless: set[str]) -> A
                         todo.append((child, 1))
         return frozenset(out)
 
-    def step(state, byte: int | None):
+    def step(state, letter: int | None):
         nodes, exact, stem, harm = state
         new: set[tuple[int, int]] = set()
         for node, e in nodes:
-            if byte is not None and byte in ftrie[node]:
-                new.add((ftrie[node][byte], e))
+            if letter is not None and letter in ftrie[node]:
+                new.add((ftrie[node][letter], e))
             if e == 0:
                 new.add((node, 1))
                 new.update((child, 1) for child in ftrie[node].values())
-        follow = lambda trie, at: trie[at].get(byte, -1) if at >= 0 and byte is not None else -1
+        follow = lambda trie, at: trie[at].get(letter, -1) if at >= 0 and letter is not None else -1
         stem_next = -2 if stem == -2 else follow(strie, stem)
         if stem_next in sfinal:
             stem_next = -2  # accepted, whatever follows
@@ -210,8 +210,8 @@ def build_automaton(words: list[str], stems: list[str], harmless: set[str]) -> A
     while todo:
         state = todo.pop()
         row = []
-        for byte in [None, *used]:
-            to = step(state, byte)
+        for letter in [None, *used]:
+            to = step(state, letter)
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
@@ -229,14 +229,13 @@ def build_automaton(words: list[str], stems: list[str], harmless: set[str]) -> A
     return Automaton(classes, table, np.array([accept[i] for i in range(n)], dtype=np.int8), n_classes, words + [s + "*" for s in stems])
 
 
-def _near_forms(fuzzy: list[bytes], harmless: set[str]) -> set[bytes]:
+def _near_forms(fuzzy: list[str], harmless: set[str]) -> set[str]:
     """Forms of harmless texts at distance 1 from an entry."""
     found = set()
     by_length = defaultdict(list)
     for w in fuzzy:
         by_length[len(w)].append(w)
-    for h in harmless:
-        e = h.encode()
+    for e in harmless:
         for size in (len(e) - 1, len(e), len(e) + 1):
             for w in by_length.get(size, ()):
                 i = 0
@@ -252,32 +251,63 @@ def _near_forms(fuzzy: list[bytes], harmless: set[str]) -> set[bytes]:
 
 # -------------------------------------------------------- hits in their context
 
-_WORD_BYTE = np.zeros(256, dtype=bool)
-_WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+_PLANE = 1 << 16
+
+
+def _lower(code: int) -> int:
+    low = chr(code).lower()
+    return ord(low) if len(low) == 1 else code
+
+
+#: Of the first plane's code points; those of the others are rare and looked up one by one.
+_LETTER = np.array([chr(c).isalnum() for c in range(_PLANE)])
+_LOWER = np.array([_lower(c) for c in range(_PLANE)], dtype=np.uint32)
 _REPORTING_FORM = re.compile(r"(?:^|\W)(?:" + "|".join(REPORTING) + r")(?:\W|$)")
 
 
-def lower_letters(data: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z and of the accented capitals of Latin-1 in UTF-8."""
-    out = _LOWER[data]
-    if len(out) > 1:
-        second = out[1:]
-        accented = (data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-        second[accented] += 0x20
-    return out
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts and the byte at which each begins; a broken one is of no letter."""
+    begins = (data & 0xC0) != 0x80
+    begins[offsets[offsets < len(data)]] = True
+    first = np.flatnonzero(begins)
+    head, size = data[first], np.diff(np.append(first, len(data)))
+    out = np.where(head < 0x80, head, 0xFFFD).astype(np.uint32)
+    for n, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((size == n) & (head >= low) & (head < high))
+        found = head[at].astype(np.uint32) - low
+        for k in range(1, n):
+            found = found << 6 | data[first[at] + k] & 0x3F
+        out[at] = np.where(found < 0x110000, found, 0xFFFD)
+    return out, first
+
+
+def letters_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of code points, and whether they stand in words: letters and digits of any script."""
+    near = np.minimum(codes, _PLANE - 1)
+    lowered, letters = _LOWER[near], _LETTER[near]
+    far = np.flatnonzero(codes >= _PLANE)
+    if len(far):
+        which, inverse = np.unique(codes[far], return_inverse=True)
+        lowered[far] = np.array([_lower(int(c)) for c in which], dtype=np.uint32)[inverse]
+        letters[far] = np.array([chr(c).isalnum() for c in which])[inverse]
+    return lowered, letters
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
 
 
 FEATURES = ("exact", "near", "quoted", "dense", "any")
 
 
 def hit_features(data: np.ndarray, offsets: np.ndarray, automaton: Automaton) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """A row of features for each text, and the hits (text, start, end, kind, quoted)."""
+    """A row of features for each text, and the hits (text, first and last byte, kind, quoted)."""
     n_docs = len(offsets) - 1
-    lowered = lower_letters(data)
-    letters = _WORD_BYTE[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
+    codes, first = code_points(data, offsets)
+    lowered, letters = letters_of(codes)
+    first = np.append(first, len(data))
+    offsets = np.searchsorted(first, offsets)
+    edge = np.zeros(len(codes) + 1, dtype=bool)
     edge[offsets] = True
     before, after = np.zeros_like(letters), np.zeros_like(letters)
     before[1:], after[:-1] = letters[:-1], letters[1:]
@@ -292,8 +322,8 @@ def hit_features(data: np.ndarray, offsets: np.ndarray, automaton: Automaton) ->
         i = doc[k]
         lo, hi = max(h - WINDOW, 0), min(h + WINDOW, len(starts) - 1)
         a, b = max(starts[lo], offsets[i]), min(ends[hi], offsets[i + 1])
-        left = lowered[a : starts[h]].tobytes().decode("utf-8", "ignore").rpartition("\n")[2]
-        right = lowered[ends[h] : b].tobytes().decode("utf-8", "ignore").partition("\n")[0]
+        left = _text(lowered[a : starts[h]]).rpartition("\n")[2]
+        right = _text(lowered[ends[h] : b]).partition("\n")[0]
         opened = left.count("“") + left.count("«") - left.count("”") - left.count("»") > 0
         opened |= left.count('"') % 2 == 1 and '"' in right
         near_left = " ".join(left.split()[-4:])
@@ -306,7 +336,7 @@ def hit_features(data: np.ndarray, offsets: np.ndarray, automaton: Automaton) ->
         out[:, j] = np.bincount(doc[mask], minlength=n_docs)
     out[:, :4] = np.log1p(out[:, :4])
     out[:, 4] = out[:, 4] > 0
-    return out, {"doc": doc, "start": starts[hit], "end": ends[hit], "kind": kind[hit], "quoted": quoted}
+    return out, {"doc": doc, "start": first[starts[hit]], "end": first[ends[hit]], "kind": kind[hit], "quoted": quoted}
 
 
 # ------------------------------------------------------------------- the model

@@ -136,6 +136,24 @@ def test_toxicity():
     assert hits["doc"].tolist() == [0, 1, 3] and hits["quoted"].tolist() == [False, True, False]
 
 
+def test_toxicity_reads_letters():
+    import pyarrow as pa
+
+    from swarmframe.llm.textbuf import text_buffer
+
+    a = toxicity.build_automaton(["estúpido", "idiota"], [], set())
+    given = ["¡idiota!", "x “idiota” y", "idiota…", "«\u00a0idiota\u00a0»", "a—idiota—b", "ESTÚPIDO", "Ωidiota", "idïota", "estupido", "éstúpido", "estúpidoé", "éstupido", "idïot\u00aa", "中文 😀 Ã 𐐀", ""]
+    data, offsets = text_buffer(pa.array(given))
+    codes, first = toxicity.code_points(data, offsets)
+    assert "".join(map(chr, codes)) == "".join(given) and len(first) == len(codes)
+    _, hits = toxicity.hit_features(data, offsets, a)
+    found = [(int(d), data[s:e].tobytes().decode(), int(k)) for d, s, e, k in zip(hits["doc"], hits["start"], hits["end"], hits["kind"], strict=True)]
+    exact = [(k, "idiota", 1) for k in range(5)] + [(5, "ESTÚPIDO", 1)]
+    assert found == [*exact, (6, "Ωidiota", 2), (7, "idïota", 2), (8, "estupido", 2), (9, "éstúpido", 2), (10, "estúpidoé", 2)]
+    broken = np.frombuffer(b"\xa9 idiota \xc3 idiota\xf0\x9f idiota \xff", np.uint8)
+    assert len(toxicity.hit_features(broken, np.array([0, len(broken)]), a)[1]["doc"]) == 3
+
+
 def test_learned_toxicity(spark, edge, empty):
     rng = np.random.default_rng(1)
     pool = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "house", "light"]
