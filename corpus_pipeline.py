@@ -38,15 +38,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group that links by five-word shingles at 0.8.
+    """One row of each group that links by five-word shingles at 0.8: one with the least doc_id.
 
-    Rows that share this doc_id and the text's shingles are copies too: one stays.
-    A document without words is linked with nothing and stays.
+    A row without an id is taken only where the group has no other.  A document
+    without words is linked with nothing and stays.
     """
     table(spark, sf_dir, "labels")  # ships the package where only documents were read so far
-    found = ngram_join.ngram_components(docs, 5, 80)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    groups = ngram_join.set_groups(docs, materialize(ngram_join.signatures(docs, 5)), 5, 80)
+    # a set's key is in one group only, so id and key name a row of the group, or equal ones
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("label").isNull(), "label", "key")).alias("c")).select(F.col("c.label").alias("label"), F.col("c.key").alias("chosen"))
+    plain, names = _plain(docs)
+    doc_id = next(n for n, c in names.items() if c == "doc_id")
+    rows = ngram_join.signatures(plain, 5, tuple(names))
+    rows = rows.join(chosen, rows["key"].eqNullSafe(chosen["chosen"]) & rows[doc_id].eqNullSafe(chosen["label"]), "left").where("chosen IS NOT NULL OR key IS NULL")
+    alone = F.when(F.col("key").isNull(), F.monotonically_increasing_id())
+    return _named(rows.withColumn("alone", alone).dropDuplicates(["key", "alone"]), names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

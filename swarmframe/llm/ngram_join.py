@@ -180,9 +180,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep (with doc_id), n_shingles, key, component_id of every row of docs."""
-    signed = materialize(signatures(docs, n, keep))
+def set_groups(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame:
+    """key, label (least doc_id, if any), copies and root of every class of equal sets; signed: signatures of docs."""
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"))
     classes = materialize(classes)
     total = classes.agg(F.sum("copies")).first()[0] or 0
@@ -207,7 +206,13 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple
     groups = components(links)
     links = links.unionByName(_across_groups(members, groups, sets, percent))
     groups = components(links)
-    labelled = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return classes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep (with doc_id), n_shingles, key, component_id of every row of docs."""
+    signed = materialize(signatures(docs, n, keep))
+    labelled = set_groups(docs, signed, n, percent)
     least = labelled.groupBy("root").agg(F.min("label").alias("component_id"))
     ids = labelled.select("key", "root").join(least, "root").select("key", "component_id")
     out = signed.join(ids, "key", "left")

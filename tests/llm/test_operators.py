@@ -328,3 +328,15 @@ def test_pipeline(spark, sf, edge, empty):
     left = corpus_pipeline.one_of_near_duplicates(spark, given, sf)
     want = brute_components([(r["doc_id"], r["text"]) for r in given.collect()], 5, 80)
     assert {r["doc_id"] for r in left.collect()} == {c for _, _, c in want}
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    import corpus_pipeline
+
+    texts = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"}
+    near = {c: t + " more" for c, t in texts.items()}
+    rows = [(None, texts["a"]), (None, near["a"]), (None, texts["b"]), (1, texts["c"]), (2, near["c"]), (None, texts["c"]), (5, texts["d"]), (4, near["d"]), (5, texts["e"]), (7, texts["f"]), (7, near["f"]), (8, ""), (None, None)]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key int")
+    left = corpus_pipeline.one_of_near_duplicates(spark, table, sf)
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in left.collect())
+    assert got == Counter([(None, "a"), (None, "b"), (1, "c"), (4, "d"), (5, "e"), (7, "f"), (8, ""), (None, "")])
