@@ -11,7 +11,7 @@ Vectors lie in blocks of a bounded size, queries too; each block of vectors meet
 each block of queries in one row, so memory is bounded and every vector is asked.
 
 Rows without an id, null or zero vectors, vectors with null or non-finite
-components, and vectors of another length than the longest take no part.  Equal
+components take no part.  A vector's neighbours are those of its own length.  Equal
 scores go by the smaller id.
 """
 
@@ -79,23 +79,26 @@ def search_block(ids, vectors, codes, scalar, length, query_ids, queries, k: int
 
 
 def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    """(block, ids, vectors) with the rows of each block packed; block is a hash of the id."""
+    """(block, d, ids, vectors) with the rows of each block and length d packed; block is a hash of the id."""
     placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
+        parts: dict[tuple[int, int], list] = {}
         for batch in batches:
-            block, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            d = len(batch.column(2)[0]) if batch.num_rows else 0
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
-            for b in np.unique(block):
-                parts.setdefault(int(b), []).append((ids[block == b], flat[block == b]))
-        for b, found in parts.items():
+            block, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            sizes = lists.value_lengths().to_numpy()
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                flat = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), d)
+                for b in np.unique(block[own]):
+                    of = block[own] == b
+                    parts.setdefault((int(b), int(d)), []).append((ids[own][of], flat[of]))
+        for (b, d), found in parts.items():
             ids, vectors = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             for at in range(0, len(ids), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([ids[at : at + BLOCK].tobytes()]), pa.array([vectors[at : at + BLOCK].astype("<f8").tobytes()])], ["block", "ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([d], pa.int32()), pa.array([ids[at : at + BLOCK].tobytes()]), pa.array([vectors[at : at + BLOCK].astype("<f8").tobytes()])], ["block", "d", "ids", "vectors"])
 
-    return placed.repartition(n, "block").select("block", "vec_id", "embedding").mapInArrow(pack, "block int, ids binary, vectors binary")
+    return placed.repartition(n, "block").select("block", "vec_id", "embedding").mapInArrow(pack, "block int, d int, ids binary, vectors binary")
 
 
 def nearest(vectors: DataFrame, queries_where, k: int = 20) -> DataFrame:
@@ -105,19 +108,18 @@ def nearest(vectors: DataFrame, queries_where, k: int = 20) -> DataFrame:
     """
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND size(embedding) > 0")
     sound = sound.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    d, n = sound.agg(F.max(F.size("embedding")), F.count("*")).first()
-    sound = sound.where(F.size("embedding") == (d or 0))
+    n = sound.count()
     asked = sound.where(queries_where)
     n_blocks, n_queries = max(1, -(-n // BLOCK)), max(1, -(-n // (20 * QUERY_BLOCK)))
     kept = materialize(_blocks(sound, n_blocks)).withColumnRenamed("block", "at")
-    sent = _blocks(asked, n_queries).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("at"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    pairs = kept.join(sent, "at").select("ids", "vectors", "query_ids", "queries")
+    sent = _blocks(asked, n_queries).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("at"), "d", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    pairs = kept.join(sent, ["at", "d"]).select("d", "ids", "vectors", "query_ids", "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
-                block, queries = (np.frombuffer(row[c], "<f8").reshape(-1, d) for c in ("vectors", "queries"))
+                block, queries = (np.frombuffer(row[c], "<f8").reshape(-1, row["d"]) for c in ("vectors", "queries"))
                 codes, scalar, length = encode(block)
                 for at in range(0, len(query_ids), 256):
                     found = search_block(ids, block, codes, scalar, length, query_ids[at : at + 256], queries[at : at + 256], k)

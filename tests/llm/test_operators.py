@@ -302,6 +302,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    v = np.random.default_rng(5).standard_normal((60, 8))
+    table = spark.createDataFrame([(i, x[: 8 - 3 * (i % 2)].tolist()) for i, x in enumerate(v)] + [(99, [1.0] * 30)], "vec_id long, embedding array<double>").repartition(2)
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(table, F.col("vec_id") < 4, 3).collect())
+    want = Counter()
+    for q in range(4):
+        ids = np.array([i for i in range(q % 2, 60, 2) if i != q])
+        full = v[:, : 8 - 3 * (q % 2)]
+        s = neighbours.exact(full[ids], full[q])
+        want.update((q, k + 1, int(ids[j]), float(s[j])) for k, j in enumerate(np.argsort(-s)[:3]))
+    assert got == want
+
+
 def test_bpe(docs, edge, empty):
     library = bpe_automaton.encoder(bpe_automaton.default_path()).library
     for table in (docs, edge):
