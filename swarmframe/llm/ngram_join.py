@@ -47,6 +47,8 @@ _U = np.uint64
 #: Classes with more copies than one in so many rows emit their keys once; at most as many such classes exist.
 HEAVY_SHARE = 10_000
 HEAVY_LEAST = 64
+#: Bits of a group's row of the matrix, as many as Spark's bitmap has.
+BITMAP = 8 * 4_096
 
 
 class Levels:
@@ -199,7 +201,7 @@ def set_groups(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> Data
     wanted = nodes.join(classes, "key").select(F.col("label").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = materialize(_token_sets(texts, n).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))
-    members = materialize(_able(members.withColumn("root", F.col("key")), sets, percent, False).drop("root"))
+    members = _feasible(members.withColumn("root", F.col("key")), sets, percent)
     hubs = members.groupBy("sig").agg(F.min(F.struct("alone", "key")).alias("hub")).select("sig", F.col("hub.key").alias("a"))
     pairs = members.join(hubs, "sig").where("a <> key").select("a", F.col("key").alias("b")).distinct()
     links = materialize(_verified(pairs, sets, percent))
@@ -219,49 +221,80 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple
     return out.select(*keep, "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _able(rows: DataFrame, sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
-    """rows (sig, key, root) that can have a partner in another group, with ``alone``.
+def _feasible(rows: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
+    """sig, key, root, size, alone and slack of the rows (sig, key, root) that can link with another group in their bucket.
 
-    alone counts the tokens that no other group has.  They are in no
-    intersection with another group, so a set with too many of them, for its
-    size and the least size in its buckets, links with no other group.
+    alone counts the tokens that no other group has.  Two sets differ at least in
+    the tokens that each has alone, so sets of different groups link only if
+
+        (100 + percent) * (alone + alone') <= (100 - percent) * (size + size')
+
+    that is, if their slacks sum to zero or more; and the tokens that a set has
+    not alone must do for a link with the least set of its bucket.  A row that
+    reaches neither with the best of the other groups leaves.  Tokens that only
+    such rows shared are alone in the next round.
     """
-    sized = rows.join(sets.select("key", F.size("tokens").alias("size")), "key")
-    least = sized.groupBy("sig").agg(F.min("size").alias("least"))
-    known = sized.join(least, "sig").groupBy("key", "root", "size").agg(F.min("least").alias("least"))
-    tokens = sets.join(known.select("key", "root"), "key").select("key", "root", F.explode("tokens").alias("token"))
-    if grouped:
+    for _ in range(rounds):
+        known = rows.select("key", "root").distinct()
+        tokens = sets.join(known, "key").select("key", "root", F.explode("tokens").alias("token"))
         single = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("token")
         own = tokens.join(single, "token").groupBy("key").agg(F.count("*").alias("alone"))
-    else:
-        single = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-        own = single.groupBy("key").agg(F.count("*").alias("alone"))
-    able = known.join(own, "key", "left").na.fill(0, ["alone"])
-    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
-    able = able.where((100 + percent) * (F.col("size") - F.col("alone")) >= percent * (F.col("size") + partner))
-    return rows.join(able.select("key", "alone"), "key")
+        scored = known.join(sets.select("key", F.size("tokens").alias("size")), "key").join(own, "key", "left").na.fill(0, ["alone"])
+        scored = materialize(rows.select("sig", "key").join(scored.withColumn("slack", (100 - percent) * F.col("size") - (100 + percent) * F.col("alone")), "key"))
+        best = scored.groupBy("sig", "root").agg(F.max("slack").alias("m"), F.min("size").alias("low"))
+        first = best.groupBy("sig").agg(F.max(F.struct("m", "root")).alias("t"), F.min("low").alias("low"))
+        second = best.drop("low").join(first, "sig").where("root <> t.root").groupBy("sig", "t", "low").agg(F.max("m").alias("s"))
+        other = F.when(F.col("root") == F.col("t.root"), F.col("s")).otherwise(F.col("t.m"))
+        partner = F.greatest(F.col("low"), F.ceil(percent * F.col("size") / 100))
+        enough = (100 + percent) * (F.col("size") - F.col("alone")) >= percent * (F.col("size") + partner)
+        rows = scored.join(second, "sig").where(enough & (F.col("slack") + other >= 0)).select("sig", "key", "root", "size", "alone", "slack")
+    return materialize(rows)
 
 
 def _across_groups(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between groups that share a bucket, by the token-group matrix.
 
-    The query asks a group for as many common tokens as its size and the least
-    size in the group demand of a linked pair.
+    A group's row of the matrix is the union of its tokens, hashed to a bitmap of
+    a fixed size: a query's tokens that meet set bits are at least as many as its
+    tokens in the union, so the bound holds however large the group is.  The
+    smaller group asks the larger one.  A query opens a group only if it has there
+    as many common tokens as its size and the least size in the group demand of
+    a linked pair.
     """
     rows = members.select("sig", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    rows = materialize(_able(rows.join(mixed, "sig"), sets, percent, True).drop("alone"))
-    present = rows.select("sig", F.col("root").alias("group")).distinct()
-    queries = materialize(rows.join(present, "sig").where("`group` < root").select("key", "group").distinct())
-    inside = groups.select(F.col("root").alias("group"), F.col("node").alias("key"))
-    alone = queries.select("group").distinct().join(groups.select(F.col("root").alias("group")).distinct(), "group", "left_anti").select("group", F.col("group").alias("key"))
-    inside = materialize(inside.join(queries.select("group").distinct(), "group", "left_semi").unionByName(alone).join(sets.select("key", F.size("tokens").alias("size")), "key"))
-    least = inside.groupBy("group").agg(F.min("size").alias("least"))
-    matrix = inside.join(sets, "key").select("group", F.explode("tokens").alias("token")).distinct()
-    asked = queries.join(least, "group").join(sets, "key").select("key", "group", "least", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    shared = asked.join(matrix, ["group", "token"]).groupBy("key", "group", "n", "least").agg(F.count("*").alias("shared"))
-    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
-    opened = shared.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + partner)).select("key", "group", "n")
-    pairs = opened.join(inside.select("group", F.col("key").alias("b"), "size"), "group")
-    pairs = pairs.where(f"100 * least(n, size) >= {percent} * greatest(n, size)").select(F.col("key").alias("a"), "b").distinct()
-    return materialize(_verified(pairs, sets, percent))
+    rows = _feasible(rows.join(mixed, "sig"), sets, percent, 2)
+    nodes = rows.select("key", "root", "size", "slack").distinct()
+    order = nodes.groupBy("root").agg(F.struct(F.count("*").alias("classes"), F.col("root")).alias("order"))
+    placed = rows.join(order, "root")
+    present = placed.groupBy("sig", "root", "order").agg(F.max("slack").alias("best"), F.min("size").alias("low"), F.max("size").alias("high"))
+    present = present.select("sig", F.col("root").alias("group"), F.col("order").alias("above"), "best", "low", "high")
+    near = F.expr(f"100 * size >= {percent} * low AND 100 * high >= {percent} * size")
+    queries = placed.join(present, (placed["sig"] == present["sig"]) & (F.col("order") < F.col("above")) & (F.col("slack") + F.col("best") >= 0) & near)
+    queries = materialize(queries.select("key", "group").distinct())
+    asked = queries.select("group").distinct()
+    matrix = nodes.withColumnRenamed("root", "group").join(asked, "group", "left_semi").join(sets, "key").select("group", "size", F.explode("tokens").alias("token"))
+    matrix = matrix.groupBy("group").agg(F.min("size").alias("least"), F.bitmap_construct_agg(F.pmod("token", F.lit(BITMAP))).alias("bits"))
+    opened = queries.join(matrix, "group").join(sets, "key").select("key", "group", "least", "tokens", "bits").mapInArrow(_opened(percent), "key long, group long")
+    x = opened.join(nodes.select("key", "size", "slack"), "key")
+    y = nodes.select(F.col("root").alias("group"), F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("slack").alias("slack_b"))
+    pairs = x.join(y, ["group"]).where(f"slack + slack_b >= 0 AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b)")
+    return materialize(_verified(pairs.select(F.col("key").alias("a"), "b").distinct(), sets, percent))
+
+
+def _opened(percent: int):
+    """The (key, group) whose bound allows a link, of rows key, group, least, tokens, bits."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            size = tokens.value_lengths().to_numpy()
+            at = np.concatenate([[0], np.cumsum(size)])
+            place = tokens.flatten().to_numpy() % BITMAP
+            bits = [np.frombuffer(b, np.uint8) for b in batch.column("bits").to_pylist()]
+            shared = np.array([int((bits[k][p >> 3] >> (p & 7) & 1).sum()) for k, p in enumerate(place[a:b] for a, b in zip(at[:-1], at[1:], strict=True))], np.int64)
+            partner = np.maximum(batch.column("least").to_numpy(), -(-percent * size // 100))
+            allowed = pa.array((100 + percent) * shared >= percent * (size + partner))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(allowed) for k in (0, 1)], ["key", "group"])
+
+    return run

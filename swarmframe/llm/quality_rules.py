@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swarmframe.llm.annotate import annotate
+from swarmframe.llm.store import fitted
 from swarmframe.llm.textbuf import Words, first_of_equals, slices, text_buffer
 
 BUCKETS = 1 << 16
@@ -109,8 +110,10 @@ def fit(docs: DataFrame, labelled: DataFrame) -> QualityModel:
     With no trusted row nothing is rejected by the ratio.
     """
     raw = bucket_counts(docs)
-    rows = labelled.select("doc_id", "text", "label").toArrow()
-    rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
+    return fitted(labelled.select("doc_id", "text", "label"), lambda rows: _fit(raw, rows))
+
+
+def _fit(raw: np.ndarray, rows: pa.Table) -> QualityModel:
     parts = [p for batch in rows.to_batches() for p in slices(batch)]
     label = rows["label"].to_numpy()
     if not (label == 1).any():

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from swarmframe.llm.annotate import annotate
+from swarmframe.llm.store import fitted
 from swarmframe.llm.textbuf import Words, slices, text_buffer
 
 #: Labelled rows that the lexicon and the weights may use.
@@ -373,10 +374,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> tuple[np.ndar
 def fit(labelled: DataFrame) -> ToxicityModel:
     """labelled: (doc_id, text, label) of a bounded sample.
 
-    Without both labels in it, every document scores the share of label 1.
+    Without both labels in it, every document scores the share of label 1.  The
+    lexicon is learned in a task, and only the model comes to the driver.
     """
-    rows = labelled.select("doc_id", "text", "label").toArrow()
-    rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
+    return fitted(labelled.select("doc_id", "text", "label"), _fit)
+
+
+def _fit(rows: pa.Table) -> ToxicityModel:
     label = rows["label"].to_numpy().astype(float)
     texts = [t or "" for t in rows["text"].to_pylist()]
     automaton = build_automaton(*learn_lexicon(texts, label))
