@@ -1,23 +1,35 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-As in RaBitQ (Gao and Long 2024): a vector is scaled to length one and rotated at
-random; the signs of its coordinates are its code, and the correction scalar is
-the inner product of the code with the rotated vector.  A query's inner product
-is estimated from the code's bits; the estimate errs by at most a multiple of
-sqrt((1 - c^2) / c^2 / (d - 1)), so vectors whose upper bound stays below the
-k-th best exact product are left out, and the rest is reranked exactly.
+As in RaBitQ (Gao and Long 2024): a vector's difference from its cell's centre is
+scaled to length one, padded to the code's width and rotated at random; the signs
+of its coordinates are its code, and the correction scalar is the inner product of
+the code with the rotated vector.  A query is rotated once and rounded to a few
+bits, so an inner product is estimated from counts of common bits (AND and
+popcount of packed words).  The estimate errs by a multiple of
+sqrt((1 - c^2) / c^2 / (bits - 1)) and of the rounding; vectors whose upper bound
+stays below the k-th best known product are left out, the rest is reranked exactly.
 
-Vectors lie in blocks of a bounded size, queries too; each block of vectors meets
-each block of queries in one row, so memory is bounded and every vector is asked.
+1. Cells: k-means over a bounded sample; every vector belongs to the cell of its
+   nearest centre.  Cells are cut into blocks of a bounded size, and a block keeps
+   ids, vectors, codes, scalars and lengths, once.
+2. Bars: a query meets one block of its own cell; the k-th best product there is a
+   lower bound for its k-th best of all.
+3. Probes: an inner product in a cell is at most that with the centre plus the
+   query's length times the cell's radius.  A query goes to the cells whose bound
+   reaches its bar, and to all blocks of them.
+
+So nothing is missed but by the codes' error bound (SPAN standard deviations).  On
+vectors without clusters every cell is probed and all codes are scanned.
 
 Rows without an id, null or zero vectors, vectors with null or non-finite
-components take no part.  A vector's neighbours are those of its own length.  Equal
-scores go by the smaller id.
+components take no part.  A vector's neighbours are those of its own length, rows
+with the query's id are no candidates.  Equal scores go by the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +38,46 @@ from pyspark.sql import functions as F
 
 from swarmframe.llm.store import materialize
 
-BLOCK = 8_192
+BLOCK = 4_096
 QUERY_BLOCK = 1_024
 #: Standard deviations of the estimate that the bound spans.
 SPAN = 3.5
+#: Least bits of a code (a bit for each component beyond that); bits that a query's coordinates are rounded to.
+CODE_BITS, QUERY_BITS = 256, 4
 SEED = 64
+#: Vectors for each cell and most cells; only lengths with so many vectors get cells, and at most CELLED of them.
+CELL_ROWS, MOST_CELLS, CELLED = 4_096, 1_024, 16
+#: Bytes of vectors that the cells of one length are fitted on, and rounds.
+SAMPLE_BYTES, ROUNDS = 1 << 23, 8
+
+
+def width(d: int) -> int:
+    """Bits of a code: whole words of 64."""
+    return -(-max(CODE_BITS, d) // 64) * 64
 
 
+@lru_cache(maxsize=8)
 def rotation(d: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((d, d)))
+    """d orthonormal columns of the code's width."""
+    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((width(d), d)))
     return q * np.sign(np.diag(r))
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths; scaled first, so that no square leaves the range of doubles."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    scale = np.where(most > 0, most, 1)
+    return most * np.sqrt(((vectors / scale[:, None]) ** 2).sum(axis=1))
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed codes, correction scalars and lengths."""
-    length = np.sqrt((vectors * vectors).sum(axis=1))
-    turned = (vectors / length[:, None]) @ rotation(vectors.shape[1]).T
-    bits = turned > 0
-    scalar = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(bits, axis=1), scalar, length
+    """Packed codes (a row of words for each 64 bits), correction scalars and lengths."""
+    length = lengths(vectors)
+    unit = vectors / np.where(length > 0, length, 1)[:, None]
+    turned = unit @ rotation(vectors.shape[1]).T
+    scalar = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
+    codes = np.packbits(turned > 0, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(codes.T), np.where(length > 0, scalar, 1), length
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -55,76 +88,228 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(ids, vectors, codes, scalar, length, query_ids, queries, k: int):
-    """(query, id, score) of the k best of a block for each query."""
-    d = vectors.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    turned = (queries @ rotation(d).T).astype(np.float32)
-    estimate = (signs @ turned.T).T / np.sqrt(d) * (length / scalar).astype(np.float32)
-    spread = np.sqrt(np.maximum(1 - scalar**2, 0) / scalar**2 / max(d - 1, 1)) * length * SPAN + 1e-5 * length
-    rows = []
-    for i, q in enumerate(query_ids):
-        est = estimate[i]
-        size = np.sqrt((queries[i] ** 2).sum())
-        take = min(k + 1, len(ids))
-        likely = np.argpartition(-est, take - 1)[:take]
-        likely = likely[ids[likely] != q]
-        found = exact(vectors[likely], queries[i])
-        bar = np.sort(found)[-k] if len(found) >= k else -np.inf
-        chosen = np.flatnonzero((est + spread * size >= bar) & (ids != q))
-        score = exact(vectors[chosen], queries[i])
-        best = np.lexsort((ids[chosen], -score))[:k]
-        rows.append((np.full(len(best), q), ids[chosen][best], score[best]))
-    return [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-
-def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    """(block, d, ids, vectors) with the rows of each block and length d packed; block is a hash of the id."""
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+def estimates(codes: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inner products of all codes with a rotated query, by popcounts, and the standard deviation of its rounding."""
+    low, high = turned.min(), turned.max()
+    step = (high - low) / ((1 << QUERY_BITS) - 1) or 1.0
+    rounded = np.rint((turned - low) / step).astype(np.uint8)
+    met = np.zeros(codes.shape[1], np.int32)
+    for j in range(QUERY_BITS):
+        plane = np.packbits(rounded >> j & 1, bitorder="little").view("<u8")
+        for word, of in zip(codes, plane, strict=True):
+            met += np.bitwise_count(word & of).astype(np.int32) << j
+    ones = np.zeros(codes.shape[1], np.int32)
+    for word in codes:
+        ones += np.bitwise_count(word)
+    # the code is 2 * bits - 1: twice the query's sum over set bits, less the sum over all
+    total = step * rounded.sum(dtype=np.int64) + low * len(turned)
+    return (2 * (step * met + low * ones) - total) / np.sqrt(len(turned)), step / np.sqrt(12)
+
+
+class Block:
+    """Vectors of a cell with their codes."""
+
+    def __init__(self, row: dict):
+        d = row["d"]
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.vectors = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, d)
+        self.center = np.frombuffer(row["center"], "<f8")
+        self.codes = np.frombuffer(row["codes"], "<u8").reshape(-1, len(self.ids))
+        self.scalar, self.length = np.frombuffer(row["scalar"], "<f8"), np.frombuffer(row["length"], "<f8")
+        self.spread = np.sqrt(np.maximum(1 - self.scalar**2, 0) / max(width(d) - 1, 1))
+
+    def search(self, query_id: int, query: np.ndarray, size: float, turned: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and products of the k best that are not below bar."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            found, rounding = estimates(self.codes, turned)
+            reach = self.length * size / self.scalar
+            estimate = float(self.center @ query) + found * reach
+            bound = estimate + reach * SPAN * np.sqrt(self.spread**2 + rounding**2) + 1e-6 * size * (self.length + np.linalg.norm(self.center))
+            other = self.ids != query_id
+            if k < len(self.ids):
+                likely = np.argpartition(-estimate, k)[: k + 1]
+                likely = likely[other[likely]]
+                if len(likely) >= k:
+                    bar = max(bar, np.sort(exact(self.vectors[likely].astype(float), query))[-k])
+            chosen = np.flatnonzero(~(bound < bar) & other)
+            score = exact(self.vectors[chosen].astype(float), query)
+        best = np.lexsort((self.ids[chosen], -score))[:k]
+        best = best[score[best] >= bar]
+        return self.ids[chosen][best], score[best]
+
+
+def _pack(rows: DataFrame, n: int, size: int, coded: bool) -> DataFrame:
+    """Blocks of at most ``size`` of rows (row, vec_id, d, cell, sub, embedding), with codes if asked for."""
+    names = ["d", "cell", "sub", "part", "kind", "rows", "ids", "vectors", "center", "codes", "scalar", "length"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], list] = {}
+        parts: dict[tuple[int, int, int], list] = {}
+        numbers: dict[tuple[int, int, int], int] = {}
+
+        def block(key: tuple[int, int, int], found: list) -> pa.RecordBatch:
+            row, ids, vectors = (np.concatenate([f[c] for f in found]) for c in range(3))
+            kind = "<f4" if (vectors.astype("<f4") == vectors).all() else "<f8"
+            with np.errstate(over="ignore"):
+                center = vectors.mean(axis=0) if coded else np.zeros(0)
+            if not np.isfinite(center).all():
+                center = np.zeros(len(center))
+            codes, scalar, length = encode(vectors - center) if coded else (np.zeros(0),) * 3
+            numbers[key] = numbers.get(key, -1) + 1
+            values = [*key, numbers[key], kind, row.tobytes(), ids.tobytes(), vectors.astype(kind).tobytes(), center.tobytes(), codes.tobytes(), scalar.tobytes(), length.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32()] * 4 + [pa.string()] + [pa.binary()] * 7, strict=True)], names)
+
+        for batch in batches:
+            row, ids, sizes, cell, sub = (batch.column(c).to_numpy() for c in range(5))
+            flat, ends = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            order = np.lexsort((sub, cell, sizes))
+            keys = np.column_stack([sizes, cell, sub])[order]
+            for at in np.split(order, np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1) if len(order) else ():
+                d = int(sizes[at[0]])
+                key = (d, int(cell[at[0]]), int(sub[at[0]]))
+                vectors = flat[(ends[at] - d)[:, None] + np.arange(d)]
+                held = parts.setdefault(key, [])
+                for a in range(0, len(at), size):
+                    piece = at[a : a + size]
+                    held.append((row[piece], ids[piece], vectors[a : a + size]))
+                    if sum(len(h[0]) for h in held) >= size:
+                        yield block(key, held)
+                        held.clear()
+        for key, held in parts.items():
+            if held:
+                yield block(key, held)
+
+    columns = ["row", "vec_id", "d", "cell", "sub", "embedding"]
+    kinds = "d int, cell int, sub int, part int, kind string, " + ", ".join(f"{c} binary" for c in names[5:])
+    return rows.repartition(n, "d", "cell", "sub").select(*columns).mapInArrow(pack, kinds)
+
+
+def fit_cells(sample: np.ndarray, n: int) -> np.ndarray:
+    """Centres of n cells by k-means; cells that become empty stay where they are."""
+    rng = np.random.default_rng(SEED)
+    centers = sample[rng.choice(len(sample), n, replace=False)].copy()
+    for _ in range(ROUNDS):
+        own = nearest_center(sample, centers)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, sample)
+        count = np.bincount(own, minlength=n)
+        centers[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centers
+
+
+def nearest_center(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return (vectors @ centers.T - 0.5 * (centers * centers).sum(axis=1)).argmax(axis=1)
+
+
+def _centers(sound: DataFrame) -> dict[int, np.ndarray]:
+    """Centres for the lengths with many vectors, each fitted on a bounded sample."""
+    many = sound.groupBy("d").count().where(F.col("count") > CELL_ROWS).orderBy(F.desc("count"), "d").limit(CELLED).collect()
+    found = {}
+    for r in many:
+        rows = max(1, SAMPLE_BYTES // (8 * r["d"]))
+        sample = sound.where(F.col("d") == r["d"]).orderBy(F.xxhash64("vec_id", "embedding")).limit(rows).select("embedding").toArrow()
+        vectors = sample["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, r["d"])
+        n = min(MOST_CELLS, -(-r["count"] // CELL_ROWS), max(1, len(vectors) // 16))
+        with np.errstate(all="ignore"):
+            centers = fit_cells(vectors, n)
+        if np.isfinite(centers).all():
+            found[r["d"]] = centers
+    return found
+
+
+def _assigned(sound: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
+    """row, vec_id, d, cell, far (distance from the cell's centre), embedding."""
+
+    def run(batches):
         for batch in batches:
-            block, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            sizes = lists.value_lengths().to_numpy()
-            for d in np.unique(sizes):
+            sizes = batch.column(2).to_numpy()
+            cell, far = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
+            flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            for d, of in centers.items():
                 own = np.flatnonzero(sizes == d)
-                flat = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), d)
-                for b in np.unique(block[own]):
-                    of = block[own] == b
-                    parts.setdefault((int(b), int(d)), []).append((ids[own][of], flat[of]))
-        for (b, d), found in parts.items():
-            ids, vectors = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            for at in range(0, len(ids), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([d], pa.int32()), pa.array([ids[at : at + BLOCK].tobytes()]), pa.array([vectors[at : at + BLOCK].astype("<f8").tobytes()])], ["block", "d", "ids", "vectors"])
+                for a in range(0, len(own), BLOCK):
+                    at = own[a : a + BLOCK]
+                    vectors = flat[(ends[at] - d)[:, None] + np.arange(d)]
+                    with np.errstate(all="ignore"):
+                        cell[at] = nearest_center(vectors, of)
+                        far[at] = lengths(vectors - of[cell[at]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell), pa.array(far), batch.column(3)], ["row", "vec_id", "d", "cell", "far", "embedding"])
+
+    rows = sound.select(F.monotonically_increasing_id().alias("row"), "vec_id", "d", "embedding")
+    return materialize(rows.mapInArrow(run, "row long, vec_id long, d int, cell int, far double, embedding array<double>"))
+
 
-    return placed.repartition(n, "block").select("block", "vec_id", "embedding").mapInArrow(pack, "block int, d int, ids binary, vectors binary")
+PROBE = ["d", "cell", "kind", "rows", "ids", "vectors", "bars"]
+PROBE_TYPES = "d int, cell int, kind string, rows binary, ids binary, vectors binary, bars binary"
+
+
+def _queries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors, lengths and rotated unit vectors of a block of queries."""
+    vectors = np.frombuffer(row["q_vectors"], row["q_kind"]).reshape(-1, row["d"]).astype(float)
+    size = lengths(vectors)
+    return np.frombuffer(row["q_ids"], np.int64), vectors, size, (vectors / size[:, None]) @ rotation(row["d"]).T
+
+
+def _probes(pairs: DataFrame, centers: dict[int, np.ndarray], radius: dict[tuple[int, int], float], k: int) -> DataFrame:
+    """The cells that each block of queries goes to, with the queries that go there and their bars."""
+
+    def run(batches):
+        for batch in batches:
+            for k_row in range(batch.num_rows):
+                row = batch.slice(k_row, 1).to_pylist()[0]
+                ids, vectors, size, turned = _queries(row)
+                block, bars = Block(row), np.full(len(ids), -np.inf)
+                for i in range(len(ids)):
+                    _, score = block.search(ids[i], vectors[i], size[i], turned[i], -np.inf, k)
+                    if len(score) == k:
+                        bars[i] = score[-1]
+                d, of = row["d"], centers.get(row["d"])
+                with np.errstate(all="ignore"):
+                    bound = np.full((len(ids), 1), np.inf) if of is None else vectors @ of.T + size[:, None] * np.array([radius.get((d, c), -np.inf) for c in range(len(of))])
+                    goes = ~(bound + 1e-9 * (np.abs(bound) + size[:, None]) < bars[:, None]) & (bound > -np.inf)
+                rows = np.frombuffer(row["q_rows"], np.int64)
+                for c in np.flatnonzero(goes.any(axis=0)):
+                    use = goes[:, c]
+                    values = [d, c, row["q_kind"], rows[use].tobytes(), ids[use].tobytes(), vectors[use].astype(row["q_kind"]).tobytes(), bars[use].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32()] * 2 + [pa.string()] + [pa.binary()] * 4, strict=True)], PROBE)
+
+    return pairs.mapInArrow(run, PROBE_TYPES)
 
 
 def nearest(vectors: DataFrame, queries_where, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row of vectors that ``queries_where`` picks.
 
-    vectors: vec_id, embedding.  A query is no candidate of its own.
+    vectors: vec_id, embedding.  Queries that share an id get their results each.
     """
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND size(embedding) > 0")
     sound = sound.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    n = sound.count()
-    asked = sound.where(queries_where)
-    n_blocks, n_queries = max(1, -(-n // BLOCK)), max(1, -(-n // (20 * QUERY_BLOCK)))
-    kept = materialize(_blocks(sound, n_blocks)).withColumnRenamed("block", "at")
-    sent = _blocks(asked, n_queries).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("at"), "d", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    pairs = kept.join(sent, ["at", "d"]).select("d", "ids", "vectors", "query_ids", "queries")
+    sound = sound.withColumn("d", F.size("embedding"))
+    centers = _centers(sound)
+    assigned = _assigned(sound, centers)
+    cells = assigned.groupBy("d", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"))
+    # at most MOST_CELLS for each of CELLED lengths
+    celled = cells.where(F.col("d").isin(list(centers))).collect() if centers else []
+    radius = {(r["d"], r["cell"]): r["far"] if np.isfinite(r["far"]) else np.inf for r in celled}
+    n = assigned.count()
+    subs = cells.select("d", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("subs"))
+    placed = assigned.join(subs, ["d", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
+    asked = assigned.where(queries_where).withColumn("sub", F.pmod(F.xxhash64("row"), F.lit(max(1, n // (64 * CELL_ROWS)))).cast("int"))
+    blocks = materialize(_pack(placed, max(1, -(-n // BLOCK)), BLOCK, True)).drop("rows")
+    queries = _pack(asked, max(1, -(-n // (20 * QUERY_BLOCK))), QUERY_BLOCK, False)
+    named = queries.select("d", "cell", *[F.col(c).alias(f"q_{c}") for c in ("kind", "rows", "ids", "vectors")])
+    home = blocks.where("sub = 0 AND part = 0").join(named, ["d", "cell"])
+    probes = materialize(_probes(home, centers, radius, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
-                block, queries = (np.frombuffer(row[c], "<f8").reshape(-1, row["d"]) for c in ("vectors", "queries"))
-                codes, scalar, length = encode(block)
-                for at in range(0, len(query_ids), 256):
-                    found = search_block(ids, block, codes, scalar, length, query_ids[at : at + 256], queries[at : at + 256], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            for k_row in range(batch.num_rows):
+                row = batch.slice(k_row, 1).to_pylist()[0]
+                ids, asked, size, turned = _queries(row)
+                block, rows, bars = Block(row), np.frombuffer(row["q_rows"], np.int64), np.frombuffer(row["q_bars"], "<f8")
+                found = [block.search(ids[i], asked[i], size[i], turned[i], bars[i], k) for i in range(len(ids))]
+                times = [len(f[0]) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, times)), pa.array(np.repeat(ids, times)), *[pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)]], ["query_row", "query_id", "vec_id", "score"])
+
+    named = probes.select("d", "cell", *[F.col(c).alias(f"q_{c}") for c in PROBE[2:]])
+    found = blocks.join(named, ["d", "cell"]).mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
