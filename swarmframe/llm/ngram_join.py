@@ -5,11 +5,13 @@ link when 100 * intersection >= percent * union.  Documents with equal sets form
 one class; classes, not copies, are joined:
 
 1. Candidates. Sizes are cut into levels so that linked sets lie in one level or
-   in neighbouring ones.  The universe of a level is cut by hash into one part
-   more than linked sets can differ in (plus a few in reserve for empty parts),
-   so linked sets agree on a whole part that is not empty.  Each class emits a
-   key for each part; equal keys make candidates.  No frequency is needed and
-   nothing is lost: this is the pigeonhole principle, not a sketch.
+   in neighbouring ones.  The universe of a level is cut by hash into more parts
+   than linked sets can differ in (and a few in reserve for empty parts), so
+   linked sets agree on several whole parts that are not empty: on ``need`` of
+   them at least.  Each class emits a key for each part.  A class leaves a level
+   where fewer of its keys than needed are shared with any other class, as those
+   do that have a passage in common and little else.  No frequency is needed
+   and nothing is lost: this is the pigeonhole principle, not a sketch.
 2. Groups. Classes with too many tokens that no other candidate has link with
    nothing and leave.  In every bucket of equal keys each class is compared with
    the one that has the fewest such tokens (the middle of a group of near
@@ -40,13 +42,15 @@ from pyspark.sql import functions as F
 
 from swarmframe.llm.annotate import annotate
 from swarmframe.llm.graph import components
-from swarmframe.llm.store import materialize
+from swarmframe.llm.store import materialize, release
 from swarmframe.llm.textbuf import Words, mix, sets_by_doc, slices
 
 _U = np.uint64
 #: Classes with more copies than one in so many rows emit their keys once; at most as many such classes exist.
 HEAVY_SHARE = 10_000
 HEAVY_LEAST = 64
+#: Linked sets agree on one in so many of the parts that they can differ in.
+AGREE_SHARE = 6
 #: Bits of a group's row of the matrix, as many as Spark's bitmap has.
 BITMAP = 8 * 4_096
 
@@ -60,14 +64,16 @@ class Levels:
         while low[-1] <= largest:
             low.append(100 * low[-1] // percent + 1)
         self.low = np.array(low)
-        parts, spare = [], []
+        parts, spare, need = [], [], []
         for k in range(len(low) - 1):
             high = low[k + 1] - 1
             differ = (high + 100 * high // percent) * (100 - percent) // (100 + percent)
-            reserve = 0 if differ < 4 else 2 + ceil(3 * differ * exp(-low[k] / (differ + 1)))
-            parts.append(differ + 1 + reserve if differ else 0)
+            agree = max(1, differ // AGREE_SHARE)
+            reserve = 0 if differ < 4 else 2 + ceil(3 * differ * exp(-low[k] / (differ + agree)))
+            parts.append(differ + agree + reserve if differ else 0)
             spare.append(reserve)
-        self.parts, self.spare = np.array(parts), np.array(spare)
+            need.append(agree)
+        self.parts, self.spare, self.need = np.array(parts), np.array(spare), np.array(need)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1
@@ -94,13 +100,13 @@ def set_keys(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(_U)).view(np.int64)
 
 
-def part_keys(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all texts' parts at their own level and the level below, and the text of each."""
+def part_keys(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all texts' parts at their own level and the level below, the text and the level of each."""
     size = np.diff(offsets)
     levels = Levels(percent, int(size.max(initial=1)) + 1)
     own = levels.of(np.maximum(size, 1))
     doc = np.repeat(np.arange(len(size)), size)
-    keys, owners = [], []
+    keys, owners, at_level = [], [], []
     for level in (own, own - 1):
         parts = np.where((level >= 0) & (size > 0), levels.parts[np.maximum(level, 0)], 0)
         spare = levels.spare[np.maximum(level, 0)]
@@ -119,7 +125,8 @@ def part_keys(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
         tag = (level[owner].astype(_U) << _U(40)) + number.astype(_U)
         keys.append(mix(sums + mix(tag) + filled.astype(_U))[keep])
         owners.append(owner[keep])
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+        at_level.append(level[owners[-1]])
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(at_level)
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -140,7 +147,7 @@ def signatures(docs: DataFrame, n: int, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def _parts(docs: DataFrame, n: int, percent: int, heavy: dict[int, int | None]) -> DataFrame:
-    """sig (key of a part) and ref of the set: the low 32 bits of its key, to keep the shuffle small.
+    """sig (key of a part) and ref of the set: its level and the low 32 bits of its key, to keep the shuffle small.
 
     heavy: key and label of the classes whose keys only the row named by the label emits.
     """
@@ -152,9 +159,9 @@ def _parts(docs: DataFrame, n: int, percent: int, heavy: dict[int, int | None])
                 keys = set_keys(tokens, offsets)
                 ids = part.column("doc_id").to_pylist()
                 emits = np.array([heavy.get(k) is None or heavy[k] == i for k, i in zip(keys.tolist(), ids, strict=True)], dtype=bool)
-                sigs, owner = part_keys(tokens, offsets, percent)
+                sigs, owner, level = part_keys(tokens, offsets, percent)
                 use = emits[owner]
-                refs = _ref(keys)[owner[use]]
+                refs = _ref(keys)[owner[use]] | level[use].astype(np.int64) << np.int64(32)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[use]), pa.array(refs)], ["sig", "ref"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "sig long, ref long")
@@ -193,15 +200,20 @@ def set_groups(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> Data
     parts = _parts(docs, n, percent, {r.key: r.label for r in heavy}).repartition("sig")
     shared = parts.groupBy("sig").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo < hi").select("sig")
     found = materialize(parts.join(shared.hint("shuffle_hash"), "sig").select("sig", "ref").distinct())
+    enough = materialize(_sharing(found, percent).select("sig", F.col("ref").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ref")).distinct())
+    release(found)
     # sets whose keys agree in 32 bits share a ref: all of them are candidates, also of each other
     refs = classes.select(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ref"), "key")
     twice = refs.groupBy("ref").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select(F.xxhash64("ref").alias("sig"), "ref")
-    members = materialize(found.unionByName(twice).join(refs, "ref").select("sig", "key").distinct())
+    members = materialize(enough.unionByName(twice).join(refs, "ref").select("sig", "key").distinct())
+    release(enough)
     nodes = members.select("key").distinct()
     wanted = nodes.join(classes, "key").select(F.col("label").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = materialize(_token_sets(texts, n).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))
-    members = _feasible(members.withColumn("root", F.col("key")), sets, percent)
+    able = _feasible(members.withColumn("root", F.col("key")), sets, percent)
+    release(members)
+    members = able
     hubs = members.groupBy("sig").agg(F.min(F.struct("alone", "key")).alias("hub")).select("sig", F.col("hub.key").alias("a"))
     pairs = members.join(hubs, "sig").where("a <> key").select("a", F.col("key").alias("b")).distinct()
     links = materialize(_verified(pairs, sets, percent))
@@ -211,6 +223,15 @@ def set_groups(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> Data
     return classes.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
+def _sharing(found: DataFrame, percent: int) -> DataFrame:
+    """The rows (sig, ref) of sets that share as many keys of a level as a linked set needs."""
+    need = F.array(*[F.lit(int(n)) for n in Levels(percent, 1 << 31).need])
+    enough = found.groupBy("ref").agg(F.count("*").alias("n")).where(F.col("n") >= F.get(need, F.shiftright("ref", 32).cast("int"))).select("ref")
+    left = found.join(enough, "ref")
+    shared = left.groupBy("sig").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo < hi").select("sig")
+    return left.join(shared, "sig").select("sig", "ref")
+
+
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep (with doc_id), n_shingles, key, component_id of every row of docs."""
     signed = materialize(signatures(docs, n, keep))
@@ -234,6 +255,7 @@ def _feasible(rows: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -
     reaches neither with the best of the other groups leaves.  Tokens that only
     such rows shared are alone in the next round.
     """
+    made: list[DataFrame] = []
     for _ in range(rounds):
         known = rows.select("key", "root").distinct()
         tokens = sets.join(known, "key").select("key", "root", F.explode("tokens").alias("token"))
@@ -241,6 +263,7 @@ def _feasible(rows: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -
         own = tokens.join(single, "token").groupBy("key").agg(F.count("*").alias("alone"))
         scored = known.join(sets.select("key", F.size("tokens").alias("size")), "key").join(own, "key", "left").na.fill(0, ["alone"])
         scored = materialize(rows.select("sig", "key").join(scored.withColumn("slack", (100 - percent) * F.col("size") - (100 + percent) * F.col("alone")), "key"))
+        made.append(scored)
         best = scored.groupBy("sig", "root").agg(F.max("slack").alias("m"), F.min("size").alias("low"))
         first = best.groupBy("sig").agg(F.max(F.struct("m", "root")).alias("t"), F.min("low").alias("low"))
         second = best.drop("low").join(first, "sig").where("root <> t.root").groupBy("sig", "t", "low").agg(F.max("m").alias("s"))
@@ -248,7 +271,9 @@ def _feasible(rows: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -
         partner = F.greatest(F.col("low"), F.ceil(percent * F.col("size") / 100))
         enough = (100 + percent) * (F.col("size") - F.col("alone")) >= percent * (F.col("size") + partner)
         rows = scored.join(second, "sig").where(enough & (F.col("slack") + other >= 0)).select("sig", "key", "root", "size", "alone", "slack")
-    return materialize(rows)
+    rows = materialize(rows)
+    release(*made)
+    return rows
 
 
 def _across_groups(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
