@@ -56,7 +56,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labelled = labelled_sample(docs, labels, "quality", 4, 2, pu_quality.LABELLED_BOUND)
-    model = pu_quality.fit(labelled, pu_quality.unlabelled_sample(docs))
+    model = pu_quality.fit(labelled, docs)
     return pu_quality.apply(docs, model).select("doc_id", fold_is("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 

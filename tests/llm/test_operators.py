@@ -273,12 +273,12 @@ def test_pigeonhole_levels():
 
 def test_pu_classifier(docs, edge, empty):
     label = docs.select("doc_id", "text", (~F.col("text").rlike(r"\*\*\*|!!| \| ")).cast("int").alias("label"))
-    model = pu_quality.fit(label.where("doc_id % 4 <> 2"), pu_quality.unlabelled_sample(docs))
+    model = pu_quality.fit(label.where("doc_id % 4 <> 2"), docs)
     rows = pu_quality.apply(docs, model).join(label, "doc_id").where("doc_id % 4 = 2").collect()
     assert np.mean([r["predicted"] == r["label"] for r in rows]) > 0.85
     scores = [r["score"] for r in pu_quality.apply(edge, model).collect()]
     assert len(scores) == edge.count() and all(0 <= s <= 1 for s in scores)
-    nothing = pu_quality.fit(empty.select("doc_id", "text", F.lit(1).alias("label")), pu_quality.unlabelled_sample(empty))
+    nothing = pu_quality.fit(empty.select("doc_id", "text", F.lit(1).alias("label")), empty)
     assert pu_quality.apply(edge, nothing).count() == edge.count()
 
 
@@ -353,3 +353,58 @@ def test_pipeline_keeps_one_row_of_each_group(spark, sf):
     left = corpus_pipeline.one_of_near_duplicates(spark, table, sf)
     got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in left.collect())
     assert got == Counter([(None, "a"), (None, "b"), (1, "c"), (4, "d"), (5, "e"), (7, "f"), (8, ""), (None, "")])
+
+
+def test_prior_without_negatives():
+    rng = np.random.default_rng(7)
+    bins = lambda x: np.bincount(np.clip(x, 0, pu_quality.BINS - 1).astype(int), minlength=pu_quality.BINS)
+    for prior in (0.2, 0.5, 0.9):
+        n = int(20_000 * prior)
+        positive, mixed = rng.normal(280, 40, 4_000), np.concatenate([rng.normal(280, 40, n), rng.normal(120, 40, 20_000 - n)])
+        assert abs(pu_quality.estimate_prior(bins(positive), bins(mixed)) - prior) < 0.05
+
+
+def test_pu_learns_from_every_text(spark):
+    """A mark that only texts far behind in the table have moves the weights."""
+    rows = [(i, f"plain words number {i} of a text " * 3 + ("~~~~~~~~ " * 20 if i >= 3_900 else ""), 1 if i < 60 else 0) for i in range(4_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    model = pu_quality.fit(table.where("doc_id < 60"), table)
+    got = {r["doc_id"]: r["score"] for r in pu_quality.apply(table.where("doc_id < 60 OR doc_id >= 3900"), model).collect()}
+    assert max(got[i] for i in range(3_900, 4_000)) < min(got[i] for i in range(60))
+
+
+def test_ngram_join_of_a_drifted_family(spark):
+    """Near copies that don't link with each other share a bucket; pairs that can't link are not compared."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        ws = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            ws[at] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(ws)))
+    rows += [(90 + i, " ".join([*base[:60], *[f"y{i}_{k}" for k in range(80)]])) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_components(table, 3, 90).select("doc_id", "n_shingles", "component_id")
+    assert Counter(map(tuple, got.collect())) == brute_components(rows, 3, 90)
+    signed = ngram_join.signatures(table, 3)
+    assert ngram_join.set_groups(table, signed, 3, 90).count() == len({t for _, t in rows})
+
+
+def test_linked_sets_share_the_parts_they_need():
+    rng = np.random.default_rng(11)
+    for percent in (80, 90):
+        for size in (9, 15, 40, 150, 700):
+            for _ in range(6):
+                a = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+                b = a.copy()
+                differ = size * (100 - percent) // (100 + percent)
+                b[:differ] = rng.integers(1, 1 << 62, differ, dtype=np.uint64)
+                assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+                tokens, offsets = ngram_join.sets_by_doc(np.repeat([0, 1], size), np.concatenate([a, b]), 2)
+                keys, owner, level = ngram_join.part_keys(tokens, offsets, percent)
+                levels = ngram_join.Levels(percent, 1 << 20)
+                own = int(levels.of(np.array([size]))[0])
+                if differ:
+                    shared = np.intersect1d(keys[(owner == 0) & (level == own)], keys[(owner == 1) & (level == own)])
+                    assert len(shared) >= levels.need[own]
