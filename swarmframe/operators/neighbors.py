@@ -1,55 +1,82 @@
 """Neighbour joins under periodic boundaries.
 
-Points fall into cells at least as wide as the radius.  The query side is
-multiplied over the cells around its own (27 in space, 9 in the plane), and an
-equi-join on (frame, cell) with the minimum-image distance as the residual gives
-the bonds.  The shuffle is by cell, so a large frame is split; AQE splits dense cells.
+Points fall into cells at least as wide as the radius, or half of it where the box
+has few of them.  The query side is multiplied over the cells around its own, and
+an equi-join on (frame, cell) with the minimum-image distance as the residual
+gives the bonds.  Where the points query themselves, each pair is found once, over
+half of the cells, and mirrored.  Both sides are shuffled by cell, so a large frame
+is split; AQE splits dense cells.
 
 bonds: (frame,) i, j, dx, dy, dz, distance, weight; the vector points from i to j.
+Columns that are carried along come as i_name and j_name.
 """
 
 from __future__ import annotations
 
-from math import floor, pi
+from itertools import product
+from math import ceil, floor, pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmframe.functions.box import Box
 
 BOND = ("i", "j", "dx", "dy", "dz", "distance", "weight")
+#: Boxes with fewer cells than this along an axis get cells of half the radius.
+FEW_CELLS = 8
+#: Most buckets that a prefix sum orders in one task.
+PREFIX_BUCKETS = 4_096
 
 
 def _frame(df: DataFrame) -> list[str]:
     return ["frame"] if "frame" in df.columns else []
 
 
-def _pairs(joined: DataFrame, box: Box, by: list[str]) -> DataFrame:
+def _pairs(joined: DataFrame, box: Box, by: list[str], carried: list[str]) -> DataFrame:
     d = box.wrap(tuple(F.col(f"p{c}") - F.col(f"q{c}") for c in "xyz"))
-    rows = joined.select(*by, "i", "j", *[v.alias(f"d{c}") for v, c in zip(d, "xyz", strict=True)])
+    rows = joined.select(*by, "i", "j", *carried, *[v.alias(f"d{c}") for v, c in zip(d, "xyz", strict=True)])
     return rows.withColumn("_d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
 
 
-def _finish(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.select(*by, "i", "j", "dx", "dy", "dz", F.sqrt("_d2").alias("distance"), F.lit(1.0).alias("weight"))
+def _finish(rows: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
+    return rows.select(*by, "i", "j", "dx", "dy", "dz", F.sqrt("_d2").alias("distance"), F.lit(1.0).alias("weight"), *carried)
 
 
-def _sides(points: DataFrame, queries: DataFrame | None, by: list[str]):
+def _sides(points: DataFrame, queries: DataFrame | None, by: list[str], carry: tuple[str, ...], query_carry: tuple[str, ...]):
     q = points if queries is None else queries
-    left = q.select(*by, F.col("point_id").alias("i"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    right = points.select(*by, F.col("point_id").alias("j"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    left = q.select(*by, F.col("point_id").alias("i"), *[F.col(c).alias(f"q{c}") for c in "xyz"], *[F.col(c).alias(f"i_{c}") for c in query_carry])
+    right = points.select(*by, F.col("point_id").alias("j"), *[F.col(c).alias(f"p{c}") for c in "xyz"], *[F.col(c).alias(f"j_{c}") for c in carry])
     return left, right
 
 
-def ball(points: DataFrame, box: Box, r_max: float, r_min: float = 0.0, queries: DataFrame | None = None, exclude_ii: bool | None = None) -> DataFrame:
-    """All bonds with r_min <= distance < r_max; i = j is left out by default where the points query themselves."""
+def _offsets(m: int, periodic: bool, reach: int) -> list[int]:
+    """Cells around a cell of m along an axis, each one once."""
+    if not periodic or 2 * reach + 1 <= m:
+        return list(range(-reach, reach + 1))
+    return list(range(m))
+
+
+def ball(
+    points: DataFrame, box: Box, r_max: float, r_min: float = 0.0, queries: DataFrame | None = None, exclude_ii: bool | None = None,
+    carry: tuple[str, ...] = (), query_carry: tuple[str, ...] | None = None, half: bool = False,
+) -> DataFrame:
+    """All bonds with r_min <= distance < r_max; i = j is left out by default where the points query themselves.
+
+    carry, query_carry: columns of points and of queries that go along.  half: of
+    each pair of points that query themselves only one bond, the other one's mirror.
+    """
     if r_max <= 0 or r_max <= r_min:
         raise ValueError("r_max must be positive and above r_min")
     if any(p and d <= 2 * r_max for d, p in zip(box.plane_distances, box.periodic, strict=False)):
         raise ValueError("r_max is too large for the box")
     by = _frame(points)
-    left, right = _sides(points, queries, by)
+    own = queries is None
+    query_carry = carry if query_carry is None else query_carry
+    left, right = _sides(points, queries, by, carry, query_carry)
+    carried = [f"i_{c}" for c in query_carry] + [f"j_{c}" for c in carry]
     n = [max(1, floor(d / r_max)) for d in box.plane_distances]
+    reach = 2 if min(n) < FEW_CELLS else 1
+    n = [max(1, floor(reach * d / r_max)) for d in box.plane_distances] if reach > 1 else n
 
     def cells(df: DataFrame, prefix: str) -> DataFrame:
         f = box.fractional(tuple(F.col(f"{prefix}{c}") for c in "xyz"))
@@ -58,31 +85,69 @@ def ball(points: DataFrame, box: Box, r_max: float, r_min: float = 0.0, queries:
 
     keys = [f"_c{k}" for k in range(len(n))]
     left, right = cells(left, "q"), cells(right, "p")
-    for key, m, periodic in zip(keys, n, box.periodic, strict=False):
-        offsets = (-1, 0, 1) if m >= 3 or not periodic else (0, 1) if m == 2 else (0,)
-        step = F.explode(F.array(*[F.lit(o) for o in offsets]))
-        left = left.withColumn("_o", step).withColumn(key, F.pmod(F.col(key) + F.col("_o"), F.lit(m)) if periodic else F.col(key) + F.col("_o")).drop("_o")
-    rows = _pairs(left.join(right, [*by, *keys]), box, by)
+    axes = [_offsets(m, p, reach) for m, p in zip(n, box.periodic, strict=False)]
+    # a pair of cells is met from one side only if each offset and its opposite are different cells
+    mirrored = own and all(not p or 2 * reach + 1 <= m for m, p in zip(n, box.periodic, strict=False))
+    steps = [o for o in product(*axes) if not mirrored or o >= (0,) * len(o)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{k}") for k, v in enumerate(o)]) for o in steps]))
+    left = left.withColumn("_o", step)
+    moved = {key: F.col(key) + F.col(f"_o.o{k}") for k, key in enumerate(keys)}
+    left = left.withColumns({key: F.pmod(v, F.lit(m)) if p else v for (key, v), m, p in zip(moved.items(), n, box.periodic, strict=False)})
+    if mirrored:  # inside a cell the smaller id asks
+        left = left.withColumn("_inside", F.expr(" AND ".join(f"_o.o{k} = 0" for k in range(len(n)))))
+    # both sides by cell: a side that is small before it is multiplied must not be broadcast
+    joined = left.drop("_o").join(right.hint("shuffle_hash"), [*by, *keys])
+    if mirrored:
+        joined = joined.where(~F.col("_inside") | (F.col("i") < F.col("j")))
+    elif own and half:
+        joined = joined.where(F.col("i") <= F.col("j"))
+    rows = _pairs(joined, box, by, carried)
     rows = rows.where((F.col("_d2") < r_max * r_max) & (F.col("_d2") >= r_min * r_min))
-    if exclude_ii if exclude_ii is not None else queries is None:
-        rows = rows.where("i <> j")
-    return _finish(rows, by)
-
-
-def all_pairs(points: DataFrame, box: Box, queries: DataFrame | None = None, exclude_ii: bool = True) -> DataFrame:
-    """Every pair as a bond: the number of rows is the product, as asked for."""
+    exclude = exclude_ii if exclude_ii is not None else own
+    if not mirrored:
+        rows = _finish(rows.where("i <> j") if exclude else rows, by, carried)
+        return rows
+    rows = _finish(rows, by, carried)
+    if not half:
+        columns = [c for c in rows.columns if c not in by]
+        swap = {"i": "j", "j": "i"} | {f"i_{c}": f"j_{c}" for c in carry} | {f"j_{c}": f"i_{c}" for c in carry}
+        back = [(-F.col(c) if c in ("dx", "dy", "dz") else F.col(swap.get(c, c))).alias(c) for c in columns]
+        rows = rows.select(*by, F.explode(F.array(F.struct(*columns), F.struct(*back))).alias("_b")).select(*by, "_b.*")
+    if not exclude and r_min <= 0:
+        zero = [F.lit(0.0).alias(c) for c in ("dx", "dy", "dz", "distance")]
+        selves = points.select(*by, F.col("point_id").alias("i"), F.col("point_id").alias("j"), *zero, F.lit(1.0).alias("weight"), *[F.col(c).alias(f"{p}_{c}") for p in "ij" for c in carry])
+        rows = rows.unionByName(selves)
+    return rows
+
+
+def all_pairs(points: DataFrame, box: Box, queries: DataFrame | None = None, exclude_ii: bool = True, most: int | None = 10**11) -> DataFrame:
+    """Every pair as a bond: the number of rows is the product, as asked for; more than ``most`` is refused."""
     by = _frame(points)
-    left, right = _sides(points, queries, by)
-    rows = _pairs(left.join(right, by) if by else left.crossJoin(right), box, by)
-    return _finish(rows.where("i <> j") if exclude_ii else rows, by)
+    left, right = _sides(points, queries, by, (), ())
+    if most is not None:
+        counts = left.groupBy(*by).agg(F.count("*").cast("double").alias("a")) if by else left.agg(F.count("*").cast("double").alias("a"))
+        other = right.groupBy(*by).agg(F.count("*").cast("double").alias("b")) if by else right.agg(F.count("*").cast("double").alias("b"))
+        total = (counts.join(other, by) if by else counts.crossJoin(other)).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+        if total > most:
+            raise ValueError(f"{total:.3g} pairs: raise most, or search within a radius")
+    cores = max(left.sparkSession.sparkContext.defaultParallelism, 1)
+    if by:
+        rows = _pairs(left.join(right, by), box, by, [])
+    else:  # blocks of queries against blocks of points, spread over the tasks
+        k = F.pmod(F.xxhash64("i"), F.lit(cores))
+        rows = _pairs(left.withColumn("_k", k).repartition(cores, "_k").drop("_k").crossJoin(right), box, by, [])
+    return _finish(rows.where("i <> j") if exclude_ii else rows, by, [])
 
 
 def nearest(points: DataFrame, box: Box, k: int, r_max: float | None = None, r_min: float = 0.0, queries: DataFrame | None = None, exclude_ii: bool | None = None) -> DataFrame:
     """The k nearest within r_max; equal distances by the smaller j.  Fewer where there are no more.
 
-    Starts with the radius that an even density would need and doubles it for
-    the queries that found too few, at last asking all pairs for what is left.
+    Starts with the radius that an even density would need and doubles it for the
+    queries that found too few, up to r_max or half of the box.  Only what is left
+    beyond half of the box, where a cell search can't reach, asks all points.
     """
+    from swarmframe.operators.cluster import save
+
     by = _frame(points)
     skip = exclude_ii if exclude_ii is not None else queries is None
     asked = points if queries is None else queries
@@ -92,22 +157,27 @@ def nearest(points: DataFrame, box: Box, k: int, r_max: float | None = None, r_m
     widest = 0.4999 * min(box.plane_distances)
     per_point = box.volume / count
     r = ((k + 1) * per_point / pi) ** 0.5 if box.is2d else (0.75 * (k + 1) * per_point / pi) ** (1 / 3)
-    r = min(1.3 * r, widest)
+    last = widest if r_max is None else min(widest, r_max)
+    r = min(1.3 * r, last)
     order = Window.partitionBy(*by, "i").orderBy("distance", "j")
     parts, left = [], asked
     while True:
-        near = ball(points, box, r, 0.0, left, skip).where(F.col("distance") >= r_min) if left is not asked or queries is not None else ball(points, box, r, 0.0, None, skip).where(F.col("distance") >= r_min)
+        near = ball(points, box, r, 0.0, None if left is points else left, skip).where(F.col("distance") >= r_min)
         ranked = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        if r >= last and r_max is not None and r_max <= widest:
+            parts.append(ranked)
+            break
+        ranked = save(ranked)
         full = ranked.where(F.col("_n") == k).select(*by, "i")
         parts.append(ranked.join(full, [*by, "i"], "left_semi"))
-        left = left.join(full.withColumnRenamed("i", "point_id"), [*by, "point_id"], "left_anti")
+        left = save(left.join(full.withColumnRenamed("i", "point_id"), [*by, "point_id"], "left_anti"))
         if left.isEmpty():
             break
-        if r >= widest or (r_max is not None and r >= r_max):
+        if r >= last:
             rest = all_pairs(points, box, left, skip).where(F.col("distance") >= r_min)
             parts.append(rest.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k))
             break
-        r = min(2 * r, widest)
+        r = min(2 * r, last)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -131,38 +201,81 @@ def filter_r(bonds: DataFrame, r_max: float, r_min: float = 0.0) -> DataFrame:
     return bonds.where((F.col("distance") >= r_min) & (F.col("distance") < r_max))
 
 
+def prefix_sum(rows: DataFrame, by: list[str], key: str, value: str, out: str) -> DataFrame:
+    """rows with the sum of ``value`` over smaller integer keys of the same group; keys are unique there.
+
+    Keys fall into buckets of one width; a window runs over the buckets' sums and
+    one inside each bucket, so a group of any size is spread over many tasks.
+    """
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    width = max(1, ceil(((high or 0) - (low or 0) + 1) / PREFIX_BUCKETS))
+    rows = rows.withColumn("_b", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    before = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
+    buckets = buckets.select(*by, "_b", F.coalesce(F.sum("_s").over(before(Window.partitionBy(*by).orderBy("_b"))), F.lit(0)).alias("_head"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy(*by, "_b").orderBy(key))), F.lit(0))
+    return rows.withColumn("_in", inside).join(buckets, [*by, "_b"]).withColumn(out, F.col("_head") + F.col("_in")).drop("_b", "_in", "_head")
+
+
 def neighbor_counts(bonds: DataFrame, queries: DataFrame) -> DataFrame:
     """i, n and the place of the first bond in (i, j) order, for every query point."""
     by = _frame(bonds)
     n = bonds.groupBy(*by, "i").agg(F.count("*").alias("n"))
     rows = queries.select(*by, F.col("point_id").alias("i")).join(n, [*by, "i"], "left").na.fill(0, ["n"])
-    before = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return prefix_sum(rows, by, "i", "n", "first").select(*by, "i", "n", "first")
+
+
+def limited(bonds: DataFrame, most: int) -> DataFrame:
+    """At most so many bonds of each query point, the nearest ones."""
+    order = Window.partitionBy(*_frame(bonds), "i").orderBy("distance", "j")
+    return bonds.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
 
+def _shell(rows: DataFrame, by: list[str], stop: Column, incomplete: str) -> DataFrame:
+    """Bonds before _stop; what happens to points whose shell never closes is up to ``incomplete``."""
+    if incomplete not in ("keep", "drop", "raise"):
+        raise ValueError("incomplete is keep, drop or raise")
+    rows = rows.withColumn("_stop", stop)
+    if incomplete == "raise":
+        rows = rows.withColumn("_stop", F.when(F.col("_stop").isNull(), F.raise_error(F.concat(F.lit("the shell is not full of point "), F.col("i").cast("string"))).cast("int")).otherwise(F.col("_stop")))
+    return rows.where("_n < _stop" if incomplete != "keep" else "_stop IS NULL OR _n < _stop")
 
-def sann(bonds: DataFrame) -> DataFrame:
-    """Solid-angle nearest neighbours: the shortest shell that closes around each point."""
+
+def sann(bonds: DataFrame, incomplete: str = "keep") -> DataFrame:
+    """Solid-angle nearest neighbours: the shortest shell that closes around each point.
+
+    incomplete: what to do with points whose bonds are too few to close a shell:
+    keep all of them, drop them, or raise an error.
+    """
     by = _frame(bonds)
     order = Window.partitionBy(*by, "i").orderBy("distance", "j")
     rows = bonds.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum("distance").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     stop = F.min(F.when((F.col("_n") >= 4) & (F.col("_sum") <= F.col("distance") * (F.col("_n") - 3)), F.col("_n"))).over(Window.partitionBy(*by, "i"))
-    return rows.withColumn("_stop", stop).where("_stop IS NULL OR _n < _stop").drop("_n", "_sum", "_stop")
+    return _shell(rows, by, stop, incomplete).drop("_n", "_sum", "_stop")
 
 
-def rad(bonds: DataFrame, stop_at_blocked: bool = True) -> DataFrame:
-    """Relative angular distance: a neighbour stays unless a nearer one stands before it."""
+def rad(bonds: DataFrame, stop_at_blocked: bool = True, incomplete: str = "keep", radii: DataFrame | None = None) -> DataFrame:
+    """Relative angular distance: a neighbour stays unless a nearer one stands before it.
+
+    radii: (point_id, radius) of the points, for particles of several sizes: solid
+    angles then go by (radius / distance) squared.
+    """
     by = _frame(bonds)
     order = Window.partitionBy(*by, "i").orderBy("distance", "j")
     rows = bonds.withColumn("_n", F.row_number().over(order))
-    k = rows.select(*by, "i", F.col("_n").alias("_k"), *[F.col(f"d{c}").alias(f"k{c}") for c in "xyz"], F.col("distance").alias("_dk"))
+    rows = rows.join(radii.select(*_frame(radii), F.col("point_id").alias("j"), F.col("radius").alias("_r")), [*_frame(radii), "j"]) if radii is not None else rows.withColumn("_r", F.lit(1.0))
+    k = rows.select(*by, "i", F.col("_n").alias("_k"), *[F.col(f"d{c}").alias(f"k{c}") for c in "xyz"], F.col("distance").alias("_dk"), F.col("_r").alias("_rk"))
     dot = F.col("dx") * F.col("kx") + F.col("dy") * F.col("ky") + F.col("dz") * F.col("kz")
-    # 1/dj**2 < cos/dk**2 with cos = dot / (dj * dk)
-    blocked = F.col("_dk") * F.col("_dk") * F.col("_dk") < dot * F.col("distance")
+    # (rj / dj)**2 < cos * (rk / dk)**2 with cos = dot / (dj * dk)
+    blocked = F.col("_dk") * F.col("_dk") * F.col("_dk") * (F.col("_r") * F.col("_r")) < dot * F.col("distance") * (F.col("_rk") * F.col("_rk"))
     hit = rows.join(k, [*by, "i"]).where(F.col("_k") < F.col("_n")).where(blocked).select(*by, "i", "_n").distinct()
-    if stop_at_blocked:
-        first = hit.groupBy(*by, "i").agg(F.min("_n").alias("_stop"))
-        return rows.join(first, [*by, "i"], "left").where("_stop IS NULL OR _n < _stop").drop("_n", "_stop")
-    return rows.join(hit, [*by, "i", "_n"], "left_anti").drop("_n")
+    if stop_at_blocked or incomplete != "keep":
+        first = hit.groupBy(*by, "i").agg(F.min("_n").alias("_first"))
+        closed = _shell(rows.join(first, [*by, "i"], "left"), by, F.col("_first"), incomplete)
+        if stop_at_blocked:
+            return closed.drop("_n", "_stop", "_first", "_r")
+        rows = rows.join(closed.select(*by, "i").distinct(), [*by, "i"], "left_semi")
+    return rows.join(hit, [*by, "i", "_n"], "left_anti").drop("_n", "_r")
 
 
 def interface(bonds: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from swarmframe.functions.box import Box
 from swarmframe.functions.quat import conjugate, rotate, rotate2
 from swarmframe.operators.density import bin_of, dense
+from swarmframe.operators.neighbors import _frame
 
 TAU = 2 * pi
 
@@ -19,12 +20,22 @@ def _turn(angle: Column) -> Column:
     return angle - TAU * F.floor(angle / TAU)
 
 
-def _angles(table: DataFrame, key: str, name: str) -> DataFrame:
-    return table.select(F.col("point_id").alias(key), F.col("theta").alias(name))
+def _with(bonds: DataFrame, table: DataFrame | None, key: str, names: list[str]) -> DataFrame:
+    """bonds with columns of a table of points as <key>_<name>; None where the bonds carry them."""
+    if table is None:
+        return bonds
+    by = _frame(table) and _frame(bonds)
+    return bonds.join(table.select(*by, F.col("point_id").alias(key), *[F.col(n).alias(f"{key}_{n}") for n in names]), [*by, key])
+
+
+def shifted(points: DataFrame, box: Box, vector: tuple[float, float, float]) -> DataFrame:
+    """Points moved by minus a vector and wrapped: the queries of a histogram around another centre."""
+    at = box.wrap(tuple(F.col(c) - F.lit(float(v)) for c, v in zip("xyz", vector, strict=True)))
+    return points.withColumns(dict(zip("xyz", at, strict=True)))
 
 
 def _counts(rows: DataFrame, bins: dict[str, tuple[Column, float, float, int]]) -> DataFrame:
-    named = rows.select(*[bin_of(v, low, high, n).alias(k) for k, (v, low, high, n) in bins.items()]).dropna()
+    named = rows.select(*[bin_of(v, low, high, n).alias(k) for k, (v, low, high, n) in bins.items()])
     return named.groupBy(*bins).agg(F.count("*").alias("bin_count"))
 
 
@@ -36,37 +47,42 @@ def _pcf(counts: DataFrame, bins: dict, box: Box, n_points: int, n_queries: int,
     return rows.withColumn("pmft", F.when(F.col("bin_count") > 0, -F.ln(F.when(F.col("pcf") > 0, F.col("pcf")))).otherwise(F.lit(float("inf"))))
 
 
-def pmft_xy(bonds: DataFrame, query_angles: DataFrame, box: Box, n_points: int, n_queries: int, x_max: float, y_max: float, bins: tuple[int, int], n_frames: int = 1) -> DataFrame:
-    rows = bonds.join(_angles(query_angles, "i", "ti"), "i")
-    x, y = rotate2(-F.col("ti"), F.col("dx"), F.col("dy"))
+def pmft_xy(bonds: DataFrame, query_angles: DataFrame | None, box: Box, n_points: int, n_queries: int, x_max: float, y_max: float, bins: tuple[int, int], n_frames: int = 1) -> DataFrame:
+    rows = _with(bonds, query_angles, "i", ["theta"])
+    x, y = rotate2(-F.col("i_theta"), F.col("dx"), F.col("dy"))
     axes = {"bin_x": (x, -x_max, x_max, bins[0]), "bin_y": (y, -y_max, y_max, bins[1])}
     return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, 4 * x_max * y_max / (bins[0] * bins[1]), n_frames)
 
 
-def pmft_xyt(bonds: DataFrame, angles: DataFrame, query_angles: DataFrame, box: Box, n_points: int, n_queries: int, x_max: float, y_max: float, bins: tuple[int, int, int]) -> DataFrame:
-    rows = bonds.join(_angles(query_angles, "i", "ti"), "i").join(_angles(angles, "j", "tj"), "j")
-    x, y = rotate2(-F.col("ti"), F.col("dx"), F.col("dy"))
-    t = _turn(F.col("tj") - F.atan2(-F.col("dy"), -F.col("dx")))
+def pmft_xyt(bonds: DataFrame, angles: DataFrame | None, query_angles: DataFrame | None, box: Box, n_points: int, n_queries: int, x_max: float, y_max: float, bins: tuple[int, int, int], n_frames: int = 1) -> DataFrame:
+    rows = _with(_with(bonds, query_angles, "i", ["theta"]), angles, "j", ["theta"])
+    x, y = rotate2(-F.col("i_theta"), F.col("dx"), F.col("dy"))
+    t = _turn(F.col("j_theta") - F.atan2(-F.col("dy"), -F.col("dx")))
     axes = {"bin_x": (x, -x_max, x_max, bins[0]), "bin_y": (y, -y_max, y_max, bins[1]), "bin_t": (t, 0.0, TAU, bins[2])}
-    return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, 4 * x_max * y_max / (bins[0] * bins[1] * bins[2]))
+    return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, 4 * x_max * y_max / (bins[0] * bins[1] * bins[2]), n_frames)
 
 
-def pmft_r12(bonds: DataFrame, angles: DataFrame, query_angles: DataFrame, box: Box, n_points: int, n_queries: int, r_max: float, bins: tuple[int, int, int]) -> DataFrame:
-    rows = bonds.join(_angles(query_angles, "i", "ti"), "i").join(_angles(angles, "j", "tj"), "j")
-    t1 = _turn(F.col("tj") - F.atan2("dy", "dx"))
-    t2 = _turn(F.col("ti") - F.atan2(-F.col("dy"), -F.col("dx")))
+def pmft_r12(bonds: DataFrame, angles: DataFrame | None, query_angles: DataFrame | None, box: Box, n_points: int, n_queries: int, r_max: float, bins: tuple[int, int, int], n_frames: int = 1) -> DataFrame:
+    rows = _with(_with(bonds, query_angles, "i", ["theta"]), angles, "j", ["theta"])
+    t1 = _turn(F.col("j_theta") - F.atan2("dy", "dx"))
+    t2 = _turn(F.col("i_theta") - F.atan2(-F.col("dy"), -F.col("dx")))
     axes = {"bin_r": (F.col("distance"), 0.0, r_max, bins[0]), "bin_t1": (t1, 0.0, TAU, bins[1]), "bin_t2": (t2, 0.0, TAU, bins[2])}
     cell = (F.col("bin_r") + 0.5) * (r_max / bins[0]) * (r_max / bins[0]) * (TAU / bins[1]) / bins[2]
-    return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, cell)
+    return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, cell, n_frames)
+
 
+def pmft_xyz(bonds: DataFrame, query_orientations: DataFrame | None, box: Box, n_points: int, n_queries: int, limits: tuple[float, float, float], bins: tuple[int, int, int], equivalent: tuple[tuple[float, ...], ...] = ((1.0, 0.0, 0.0, 0.0),), n_frames: int = 1) -> DataFrame:
+    """The bond in the query point's frame, counted once for each equivalent orientation.
 
-def pmft_xyz(bonds: DataFrame, query_orientations: DataFrame, box: Box, n_points: int, n_queries: int, limits: tuple[float, float, float], bins: tuple[int, int, int], equivalent: tuple[tuple[float, ...], ...] = ((1.0, 0.0, 0.0, 0.0),)) -> DataFrame:
-    q = query_orientations.select(F.col("point_id").alias("i"), *[f"q{c}" for c in "wxyz"])
-    v = rotate(conjugate(tuple(F.col(f"q{c}") for c in "wxyz")), tuple(F.col(f"d{c}") for c in "xyz"))
-    rows = bonds.join(q, "i").select(*[a.alias(c) for a, c in zip(v, "xyz", strict=True)])
-    turned = F.array(*[F.struct(*[F.lit(float(c)).alias(n) for c, n in zip(e, "wxyz", strict=True)]) for e in equivalent])
-    rows = rows.withColumn("e", F.explode(turned))
-    v = rotate(tuple(F.col(f"e.{c}") for c in "wxyz"), tuple(F.col(c) for c in "xyz"))
+    For a histogram around a point off the particle's centre, the bonds' queries are ``shifted``.
+    """
+    v = rotate(conjugate(tuple(F.col(f"i_q{c}") for c in "wxyz")), tuple(F.col(f"d{c}") for c in "xyz"))
+    rows = _with(bonds, query_orientations, "i", [f"q{c}" for c in "wxyz"]).select(*[a.alias(c) for a, c in zip(v, "xyz", strict=True)])
+    v = tuple(F.col(c) for c in "xyz")
+    if [tuple(map(float, e)) for e in equivalent] != [(1.0, 0.0, 0.0, 0.0)]:
+        turned = F.array(*[F.struct(*[F.lit(float(c)).alias(n) for c, n in zip(e, "wxyz", strict=True)]) for e in equivalent])
+        rows = rows.withColumn("e", F.explode(turned))
+        v = rotate(tuple(F.col(f"e.{c}") for c in "wxyz"), v)
     axes = {f"bin_{c}": (a, -m, m, n) for c, a, m, n in zip("xyz", v, limits, bins, strict=True)}
     cell = 8 * limits[0] * limits[1] * limits[2] / (bins[0] * bins[1] * bins[2]) * len(equivalent)
-    return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, cell)
+    return _pcf(_counts(rows, axes), axes, box, n_points, n_queries, cell, n_frames)

@@ -24,6 +24,10 @@ def parts(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
     return hashed_points(read(spark, sf_dir, "part"), "p_partkey", dims)
 
 
+def with_angles(points: DataFrame) -> DataFrame:
+    return points.withColumn("theta", (F.col("point_id") * 40503 % 65536).cast("double") * THETA)
+
+
 def angles(points: DataFrame) -> DataFrame:
     return points.select("point_id", ((F.col("point_id") * 40503 % 65536).cast("double") * THETA).alias("theta"))
 
@@ -52,15 +56,18 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = read(spark, sf_dir, "events")
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = e.select(F.col("user_id").alias("particle"), (F.row_number().over(by_time) - 1).cast("long").alias("frame"), F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    shortest = rows.groupBy("particle").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
-    return rows.join(F.broadcast(shortest), F.col("frame") < F.col("n")).drop("n")
+    return e.select(F.col("user_id").alias("particle"), (F.row_number().over(by_time) - 1).cast("long").alias("frame"), F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
 
 
 def r6(c):
     return F.round(c, 6)
 
 
+def known(c):
+    """NaN, the value of a point without neighbours, as null."""
+    return F.when(~F.isnan(c), c)
+
+
 # --------------------------------------------------------------------- SQL
 
 
@@ -110,7 +117,7 @@ FROM {axis_sql("bin", 10)} a LEFT JOIN h ON h.bin=a.bin CROSS JOIN np""")
 def rdf(spark, sf_dir):
     p = parts(spark, sf_dir)
     n = p.count()
-    out = density.rdf(neighbors.ball(p, CUBE, 4.0), CUBE, n, n, 10, 4.0)
+    out = density.rdf(neighbors.ball(p, CUBE, 4.0, half=True), CUBE, n, n, 10, 4.0, half=True)
     return out.select("bin", "bin_count", r6("g_r").alias("g_r"), r6("n_r").alias("n_r"))
 
 
@@ -180,8 +187,8 @@ def buffer_points(spark, sf_dir):
 @query(bonds_sql(3.0, extra=", h AS (SELECT CAST(floor(d/CAST(0.5 AS DOUBLE)) AS INT) AS bin, count(*) AS n, avg(CAST((i%17)*(j%17)+(i%5)*(j%5) AS DOUBLE)) AS re, avg(CAST((j%17)*(i%5)-(j%5)*(i%17) AS DOUBLE)) AS im FROM b GROUP BY 1)") + f"SELECT a.bin, CAST(coalesce(n,0) AS BIGINT) AS bin_count, round(coalesce(re,0),6) AS re, round(coalesce(im,0),6) AS im FROM {axis_sql('bin', 6)} a LEFT JOIN h ON h.bin=a.bin")
 def correlation(spark, sf_dir):
     p = parts(spark, sf_dir)
-    v = p.select("point_id", (F.col("point_id") % 17).cast("double").alias("re"), (F.col("point_id") % 5).cast("double").alias("im"))
-    out = density.correlation(neighbors.ball(p, CUBE, 3.0), v, v, 6, 3.0)
+    p = p.withColumns({"re": (F.col("point_id") % 17).cast("double"), "im": (F.col("point_id") % 5).cast("double")})
+    out = density.correlation(neighbors.ball(p, CUBE, 3.0, carry=("re", "im")), None, None, 6, 3.0)
     return out.select("bin", "bin_count", r6("re").alias("re"), (r6("im") + 0.0).alias("im"))
 
 
@@ -212,18 +219,34 @@ def clusters(spark, sf_dir):
     return cluster.clusters(p, neighbors.ball(p, CUBE, 0.6))
 
 
-@query(REACH + ", t AS (SELECT cluster, " + ", ".join(f"avg(cos(({c}/16)*{2 * pi!r})) AS c{c}, avg(sin(({c}/16)*{2 * pi!r})) AS s{c}" for c in "xyz") + ", count(*) AS size FROM root JOIN c ON c.root=root.root JOIN p ON p.id=root.id GROUP BY cluster) SELECT cluster, size, " + ", ".join(f"round(atan2(s{c},c{c})/{2 * pi!r}*16+0.0000123,4) AS center_{c}" for c in "xyz") + " FROM t WHERE size > 1")
+# singles and pairs have their centres on multiples of 1/8192, off the ties of this rounding
+CENTERS = REACH + ", t AS (SELECT cluster, " + ", ".join(f"avg(cos(({c}/16)*{2 * pi!r})) AS c{c}, avg(sin(({c}/16)*{2 * pi!r})) AS s{c}" for c in "xyz") + ", count(*) AS size FROM root JOIN c ON c.root=root.root JOIN p ON p.id=root.id GROUP BY cluster), o AS (SELECT cluster, size, " + ", ".join(f"atan2(s{c},c{c})/{2 * pi!r}*16 AS o{c}" for c in "xyz") + " FROM t)"
+AROUND = CENTERS + ", r0 AS (SELECT o.cluster, o.size, " + ", ".join(f"p.{c}-o{c} AS u{c}" for c in "xyz") + " FROM root JOIN c ON c.root=root.root JOIN p ON p.id=root.id JOIN o ON o.cluster=c.cluster), r1 AS (SELECT cluster, size, " + ", ".join(f"u{c}-16*floor(u{c}/16+CAST(0.5 AS DOUBLE)) AS {c}" for c in "xyz") + " FROM r0) "
+
+
+@query(CENTERS + " SELECT cluster, size, " + ", ".join(f"CAST(round(o{c}*8192) AS BIGINT) % 131072 AS center_{c}" for c in "xyz") + " FROM o")
 def cluster_properties(spark, sf_dir):
     p = parts(spark, sf_dir)
     out = cluster.properties(p, cluster.clusters(p, neighbors.ball(p, CUBE, 0.6)), CUBE)
-    return out.where("size > 1").select("cluster", "size", *[F.round(F.col(f"center_{c}") + 0.0000123, 4).alias(f"center_{c}") for c in "xyz"])  # off the ties of dyadic centres
+    return out.select("cluster", "size", *[(F.round(F.col(f"center_{c}") * 8192).cast("long") % 131072).alias(f"center_{c}") for c in "xyz"])
 
 
-@query(bonds_sql(1.0, 2, extra=", s AS (SELECT i, avg(cos(6*atan2(dy,dx))) AS re, avg(sin(6*atan2(dy,dx))) AS im FROM b GROUP BY i)") + "SELECT i AS point_id, round(re,6)+0.0 AS re, round(im,6)+0.0 AS im FROM s")
+@query(
+    AROUND + "SELECT cluster, size, CAST(size AS DOUBLE) AS mass, " + ", ".join(f"round(avg({a}*{b}),6)+0.0 AS g_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    + ", " + ", ".join(f"round(sum({'x*x+y*y+z*z' if a == b else '0'}-{a}*{b}),6)+0.0 AS i_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + ", round(sqrt(avg(x*x+y*y+z*z)),6)+0.0 AS radius_of_gyration FROM r1 GROUP BY cluster, size"
+)
+def cluster_tensors(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    out = cluster.properties(p, cluster.clusters(p, neighbors.ball(p, CUBE, 0.6)), CUBE)
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    return out.select("cluster", "size", "mass", *[(r6(f"{k}_{q}") + 0.0).alias(f"{k}_{q}") for k in "gi" for q in pairs], (r6("radius_of_gyration") + 0.0).alias("radius_of_gyration"))
+
+
+@query(bonds_sql(1.0, 2, extra=", s AS (SELECT i, avg(cos(6*atan2(dy,dx))) AS re, avg(sin(6*atan2(dy,dx))) AS im FROM b GROUP BY i)") + "SELECT p.id AS point_id, round(re,6)+0.0 AS re, round(im,6)+0.0 AS im FROM p LEFT JOIN s ON s.i=p.id")
 def hexatic(spark, sf_dir):
     p = parts(spark, sf_dir, 2)
-    out = order.hexatic(p, neighbors.ball(p, SQUARE, 1.0)).where("NOT isnan(re)")
-    return out.select("point_id", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
+    out = order.hexatic(p, neighbors.ball(p, SQUARE, 1.0))
+    return out.select("point_id", known(r6("re") + 0.0).alias("re"), known(r6("im") + 0.0).alias("im"))
 
 
 @query("WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), u AS (SELECT x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM e) SELECT " + ", ".join(f"round(avg(1.5*{a}*{b}-{0.5 if a == b else 0.0}),6)+0.0 AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM u")
@@ -236,16 +259,26 @@ def nematic_tensor(spark, sf_dir):
 PAIR_P6 = P6_SQL.format("((a.dx*c.dx+a.dy*c.dy+a.dz*c.dz)/(a.d*c.d))")
 
 
-@query(bonds_sql(1.5, extra=f", s AS (SELECT a.i, sum({PAIR_P6}) AS t, count(*) AS nn FROM b a JOIN b c ON a.i=c.i GROUP BY a.i)") + "SELECT i AS point_id, round(sqrt(greatest(t,0)/nn),5) AS q FROM s")
+@query(bonds_sql(1.5, extra=f", s AS (SELECT a.i, sum({PAIR_P6}) AS t, count(*) AS nn FROM b a JOIN b c ON a.i=c.i GROUP BY a.i)") + "SELECT p.id AS point_id, round(sqrt(greatest(t,0)/nn),5) AS q FROM p LEFT JOIN s ON s.i=p.id")
 def steinhardt_q6(spark, sf_dir):
     p = parts(spark, sf_dir)
-    return order.steinhardt(p, neighbors.ball(p, CUBE, 1.5), 6).where("NOT isnan(q)").select("point_id", F.round("q", 5).alias("q"))
+    return order.steinhardt(p, neighbors.ball(p, CUBE, 1.5), 6).select("point_id", known(F.round("q", 5)).alias("q"))
 
 
-@query()
+#: Real spherical harmonics of degree 4 of a unit vector, without the common factor sqrt(1 / pi).
+Y4 = [
+    "0.75*sqrt(35)*x*y*(x*x-y*y)", "0.75*sqrt(17.5)*(3*x*x-y*y)*y*z", "0.75*sqrt(5)*x*y*(7*z*z-1)", "0.75*sqrt(2.5)*y*z*(7*z*z-3)", "0.1875*(35*z*z*z*z-30*z*z+3)",
+    "0.75*sqrt(2.5)*x*z*(7*z*z-3)", "0.375*sqrt(5)*(x*x-y*y)*(7*z*z-1)", "0.75*sqrt(17.5)*(x*x-3*y*y)*x*z", "0.1875*sqrt(35)*(x*x*(x*x-3*y*y)-y*y*(3*x*x-y*y))",
+]
+
+
+@query(
+    bonds_sql(2.0, extra=", u AS (SELECT i, j, dx/d AS x, dy/d AS y, dz/d AS z FROM b), y AS (SELECT i, " + ", ".join(f"avg({y}) AS y{k}" for k, y in enumerate(Y4)) + " FROM u GROUP BY i), n AS (SELECT b.i, count(*) AS k, " + ", ".join(f"sum(y.y{k}) AS s{k}" for k in range(9)) + " FROM b JOIN y ON y.i=b.j GROUP BY b.i)")
+    + "SELECT p.id AS point_id, round(sqrt(4/CAST(9 AS DOUBLE)*(" + "+".join(f"pow((y.y{k}+s{k})/(k+1),2)" for k in range(9)) + ")),5) AS q FROM p LEFT JOIN y ON y.i=p.id LEFT JOIN n ON n.i=p.id"
+)
 def steinhardt_q4_average(spark, sf_dir):
     p = parts(spark, sf_dir)
-    return order.steinhardt(p, neighbors.ball(p, CUBE, 2.0), 4, average=True).where("NOT isnan(q)").select("point_id", F.round("q", 5).alias("q"))
+    return order.steinhardt(p, neighbors.ball(p, CUBE, 2.0), 4, average=True).select("point_id", known(F.round("q", 5)).alias("q"))
 
 
 @query()
@@ -264,7 +297,12 @@ def solid_liquid_bonds(spark, sf_dir):
     return out.select("i", "j", (F.round("q_ij", 5) + 0.0).alias("q_ij"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + bonds_sql(1.5)[5:].rstrip() + f", pw AS (SELECT a.i, sum({PAIR_P6}) AS t FROM b a JOIN b c ON a.i=c.i GROUP BY a.i), x AS (SELECT e.i, e.j, sum({PAIR_IJ}) AS t FROM b e JOIN b a ON a.i=e.i JOIN b c ON c.i=e.j GROUP BY e.i, e.j), "
+    "s AS (SELECT x.i, x.j FROM x JOIN pw g ON g.i=x.i JOIN pw h ON h.i=x.j WHERE x.t/sqrt(g.t*h.t) > 0.5), k AS (SELECT i, count(*) AS n FROM s GROUP BY i), m AS (SELECT i FROM k WHERE n >= 2), e AS (SELECT s.i, s.j FROM s JOIN m ON m.i=s.i JOIN m o ON o.i=s.j), "
+    "w(id, r) AS (SELECT i, i FROM m UNION SELECT e.j, w.r FROM w JOIN e ON e.i=w.id), root AS (SELECT id, min(r) AS root FROM w GROUP BY id), z AS (SELECT root, count(*) AS size FROM root GROUP BY root), c AS (SELECT root, row_number() OVER (ORDER BY size DESC, root)-1 AS cluster FROM z) "
+    "SELECT p.id AS point_id, CAST(coalesce(k.n,0) AS BIGINT) AS num_connections, cluster FROM p LEFT JOIN k ON k.i=p.id LEFT JOIN root ON root.id=p.id LEFT JOIN c ON c.root=root.root"
+)
 def solid_liquid_clusters(spark, sf_dir):
     p = parts(spark, sf_dir)
     return order.solid_liquid(p, neighbors.ball(p, CUBE, 1.5), 6, 0.5, 2)[1]
@@ -286,7 +324,7 @@ AXES2 = f"(SELECT * FROM {axis_sql('bin_x', 12)} CROSS JOIN {axis_sql('bin_y', 1
 def pmft_xy(spark, sf_dir):
     p = parts(spark, sf_dir, 2)
     n = p.count()
-    out = pmft.pmft_xy(neighbors.ball(p, SQUARE, 2.2), angles(p), SQUARE, n, n, 1.5, 1.5, (12, 12))
+    out = pmft.pmft_xy(neighbors.ball(with_angles(p), SQUARE, 2.2, carry=("theta",)), None, SQUARE, n, n, 1.5, 1.5, (12, 12))
     return out.select("bin_x", "bin_y", "bin_count", r6("pcf").alias("pcf"))
 
 
@@ -297,7 +335,7 @@ XYT_T = TURN_SQL.format(ANGLE_SQL.format("j") + " - atan2(-dy,-dx)")
 def pmft_xyt(spark, sf_dir):
     p = parts(spark, sf_dir, 2)
     n = p.count()
-    out = pmft.pmft_xyt(neighbors.ball(p, SQUARE, 2.2), angles(p), angles(p), SQUARE, n, n, 1.5, 1.5, (6, 6, 4))
+    out = pmft.pmft_xyt(neighbors.ball(with_angles(p), SQUARE, 2.2, carry=("theta",)), None, None, SQUARE, n, n, 1.5, 1.5, (6, 6, 4))
     return out.select("bin_x", "bin_y", "bin_t", "bin_count", r6("pcf").alias("pcf"))
 
 
@@ -316,7 +354,8 @@ def pmft_r12(spark, sf_dir):
 def pmft_xyz(spark, sf_dir):
     p = parts(spark, sf_dir)
     n = p.count()
-    out = pmft.pmft_xyz(neighbors.ball(p, CUBE, 2.6), turned(p), CUBE, n, n, (1.5, 1.5, 1.5), (6, 6, 6))
+    q = p.join(turned(p), "point_id")
+    out = pmft.pmft_xyz(neighbors.ball(p, CUBE, 2.6, queries=q, exclude_ii=True, query_carry=("qw", "qx", "qy", "qz")), None, CUBE, n, n, (1.5, 1.5, 1.5), (6, 6, 6))
     return out.select("bin_x", "bin_y", "bin_z", "bin_count", r6("pcf").alias("pcf"))
 
 
@@ -354,7 +393,7 @@ def bond_projection(spark, sf_dir):
     return out.select("i", "j", "projection", (r6("value") + 0.0).alias("value"))
 
 
-TRAJ = "WITH t AS (SELECT user_id AS particle, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS frame, value AS x FROM events), m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM t GROUP BY particle)), r AS (SELECT particle, frame, x FROM t, m WHERE frame < n) "
+TRAJ = "WITH t AS (SELECT user_id AS particle, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS frame, value AS x FROM events), r AS (SELECT particle, frame, x FROM t) "
 
 
 @query(TRAJ + ", f AS (SELECT particle, x AS x0 FROM r WHERE frame=0) SELECT frame, round(avg((x-x0)*(x-x0)),2) AS msd FROM r JOIN f USING (particle) GROUP BY frame")
@@ -390,4 +429,92 @@ FRAMES = "SELECT event_id AS id, CAST(day(ts) AS BIGINT) AS frame, x, y, z FROM
 
 @query(f"WITH p AS ({FRAMES}), u AS (SELECT a.frame, b.x-a.x AS x, b.y-a.y AS y, b.z-a.z AS z FROM p a JOIN p b ON a.frame=b.frame AND a.id<>b.id), d AS (SELECT frame, sqrt(pow(x-16*floor(x/16+0.5),2)+pow(y-16*floor(y/16+0.5),2)+pow(z-16*floor(z/16+0.5),2)) AS d FROM u) SELECT frame, CAST(floor(d/0.5) AS INTEGER) AS bin, count(*) AS bin_count FROM d WHERE d < 3 GROUP BY GROUPING SETS ((1, 2), (2))")
 def frames_rdf_rollup(spark, sf_dir):
-    return density.rollup_rdf(neighbors.ball(events_frames(spark, sf_dir), CUBE, 3.0), 6, 3.0)
+    return density.rollup_rdf(neighbors.ball(events_frames(spark, sf_dir), CUBE, 3.0, half=True), 6, 3.0, half=True)
+
+
+# ------------------------------------------------------------- several frames
+
+
+def frame_bonds_sql(r: float, dims: int = 3, extra: str = "") -> str:
+    """CTEs p and b (frame, i, j, dx, dy, dz, d) of all bonds below r inside each frame."""
+    z = "z" if dims == 3 else "CAST(0 AS DOUBLE) AS z"
+    wrap = lambda c: f"u{c}-16*floor(u{c}/16+CAST(0.5 AS DOUBLE)) AS d{c}"
+    return (
+        f"WITH p AS (SELECT id, frame, x, y, {z} FROM ({FRAMES})), raw AS (SELECT a.frame, a.id AS i, c.id AS j, c.x-a.x AS ux, c.y-a.y AS uy, c.z-a.z AS uz FROM p a JOIN p c ON a.frame=c.frame AND a.id<>c.id), "
+        f"mi AS (SELECT frame, i, j, {wrap('x')}, {wrap('y')}, {wrap('z')} FROM raw), b AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS d FROM mi WHERE dx*dx+dy*dy+dz*dz < {r}*{r}){extra} "
+    )
+
+
+def frames(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
+    rows = events_frames(spark, sf_dir)
+    return rows if dims == 3 else rows.withColumn("z", F.lit(0.0))
+
+
+NPF = ", np AS (SELECT frame, CAST(count(*) AS DOUBLE) AS np FROM p GROUP BY frame)"
+
+
+@query(frame_bonds_sql(2.5, extra=", s AS (SELECT frame, i, sum(CASE WHEN d < 1.5 THEN CAST(1 AS DOUBLE) ELSE 1+(2-(d+0.5)) END) AS n FROM b GROUP BY 1, 2)") + f"SELECT p.frame, p.id AS point_id, round(coalesce(n,0),6) AS num_neighbors, round(coalesce(n,0)/CAST({4 / 3 * pi * 8!r} AS DOUBLE),6) AS density FROM p LEFT JOIN s ON s.i=p.id AND s.frame=p.frame")
+def frames_local_density(spark, sf_dir):
+    out = density.local_density(frames(spark, sf_dir), CUBE, 2.0, 1.0)
+    return out.select("frame", "point_id", r6("num_neighbors").alias("num_neighbors"), r6("density").alias("density"))
+
+
+@query("WITH RECURSIVE " + frame_bonds_sql(0.8)[5:].rstrip() + ", w(frame, id, r) AS (SELECT frame, id, id FROM p UNION SELECT b.frame, b.j, w.r FROM w JOIN b ON b.i=w.id AND b.frame=w.frame), root AS (SELECT frame, id, min(r) AS root FROM w GROUP BY 1, 2), n AS (SELECT frame, root, count(*) AS size FROM root GROUP BY 1, 2), c AS (SELECT frame, root, row_number() OVER (PARTITION BY frame ORDER BY size DESC, root)-1 AS cluster FROM n) SELECT root.frame, id AS point_id, cluster FROM root JOIN c ON c.root=root.root AND c.frame=root.frame")
+def frames_clusters(spark, sf_dir):
+    p = frames(spark, sf_dir)
+    return cluster.clusters(p, neighbors.ball(p, CUBE, 0.8))
+
+
+@query(frame_bonds_sql(1.8, extra=f", s AS (SELECT a.frame, a.i, sum({PAIR_P6}) AS t, count(*) AS nn FROM b a JOIN b c ON a.i=c.i AND a.frame=c.frame GROUP BY 1, 2)") + "SELECT p.frame, p.id AS point_id, round(sqrt(greatest(t,0)/nn),5) AS q FROM p LEFT JOIN s ON s.i=p.id AND s.frame=p.frame")
+def frames_steinhardt_q6(spark, sf_dir):
+    p = frames(spark, sf_dir)
+    return order.steinhardt(p, neighbors.ball(p, CUBE, 1.8), 6).select("frame", "point_id", known(F.round("q", 5)).alias("q"))
+
+
+@query(frame_bonds_sql(1.0, 2, extra=", s AS (SELECT frame, i, avg(cos(4*atan2(dy,dx))) AS re, avg(sin(4*atan2(dy,dx))) AS im FROM b GROUP BY 1, 2)") + "SELECT p.frame, p.id AS point_id, round(re,6)+0.0 AS re, round(im,6)+0.0 AS im FROM p LEFT JOIN s ON s.i=p.id AND s.frame=p.frame")
+def frames_tetratic(spark, sf_dir):
+    p = frames(spark, sf_dir, 2)
+    out = order.hexatic(p, neighbors.ball(p, SQUARE, 1.0), 4)
+    return out.select("frame", "point_id", known(r6("re") + 0.0).alias("re"), known(r6("im") + 0.0).alias("im"))
+
+
+@query(frame_bonds_sql(3.0, extra=", h AS (SELECT frame, CAST(floor(d/CAST(0.5 AS DOUBLE)) AS INT) AS bin, count(*) AS n, avg(CAST((i%17)*(j%17)+(i%5)*(j%5) AS DOUBLE)) AS re, avg(CAST((j%17)*(i%5)-(j%5)*(i%17) AS DOUBLE)) AS im FROM b GROUP BY 1, 2), f AS (SELECT DISTINCT frame FROM p)") + f"SELECT f.frame, a.bin, CAST(coalesce(n,0) AS BIGINT) AS bin_count, round(coalesce(re,0),6) AS re, round(coalesce(im,0),6)+0.0 AS im FROM f CROSS JOIN {axis_sql('bin', 6)} a LEFT JOIN h ON h.bin=a.bin AND h.frame=f.frame")
+def frames_correlation(spark, sf_dir):
+    p = frames(spark, sf_dir)
+    v = p.select("frame", "point_id", (F.col("point_id") % 17).cast("double").alias("re"), (F.col("point_id") % 5).cast("double").alias("im"))
+    out = density.correlation(neighbors.ball(p, CUBE, 3.0), v, v, 6, 3.0, per_frame=True)
+    return out.select("frame", "bin", "bin_count", r6("re").alias("re"), (r6("im") + 0.0).alias("im"))
+
+
+@query(f"WITH p AS (SELECT id, frame, x, y FROM ({FRAMES})), g AS (SELECT a.ix, b.iy, a.ix*2-CAST(7 AS DOUBLE) AS gx, b.iy*2-CAST(7 AS DOUBLE) AS gy FROM {axis_sql('ix', 8)} a CROSS JOIN {axis_sql('iy', 8)} b), d AS (SELECT frame, ix, iy, gx-x-16*floor((gx-x)/16+0.5) AS dx, gy-y-16*floor((gy-y)/16+0.5) AS dy FROM g CROSS JOIN p), h AS (SELECT frame, ix, iy, sum(exp(-(dx*dx+dy*dy)/CAST(0.5 AS DOUBLE))/CAST({2 * pi * 0.25!r} AS DOUBLE)) AS s FROM d WHERE dx*dx+dy*dy < 2.25 GROUP BY 1, 2, 3), f AS (SELECT DISTINCT frame FROM p) SELECT f.frame, g.ix, g.iy, round(coalesce(s,0),6) AS density FROM f CROSS JOIN g LEFT JOIN h ON h.frame=f.frame AND h.ix=g.ix AND h.iy=g.iy")
+def frames_gaussian_density(spark, sf_dir):
+    return density.gaussian_density(frames(spark, sf_dir, 2), SQUARE, 8, 1.5, 0.5, empty=True).select("frame", "ix", "iy", r6("density").alias("density"))
+
+
+@query(frame_bonds_sql(2.2, 2, extra=f", v AS (SELECT {XY} FROM b), h AS (SELECT CAST(floor((x+1.5)/0.25) AS INT) AS bin_x, CAST(floor((y+1.5)/0.25) AS INT) AS bin_y, count(*) AS n FROM v WHERE x>=-1.5 AND x<1.5 AND y>=-1.5 AND y<1.5 GROUP BY 1,2)") + f"SELECT a.bin_x, a.bin_y, CAST(coalesce(n,0) AS BIGINT) AS bin_count FROM {AXES2} a LEFT JOIN h ON h.bin_x=a.bin_x AND h.bin_y=a.bin_y")
+def frames_pmft_xy(spark, sf_dir):
+    p = frames(spark, sf_dir, 2)
+    turn = p.select("frame", "point_id", (F.col("point_id") * 40503 % 65536 * THETA).alias("theta"))
+    out = pmft.pmft_xy(neighbors.ball(p, SQUARE, 2.2), turn, SQUARE, 1, 1, 1.5, 1.5, (12, 12))
+    return out.select("bin_x", "bin_y", "bin_count")
+
+
+@query(frame_bonds_sql(1.5) + f"SELECT frame, i, j, round(2*acos(greatest(-1,least(1,cos({ANGLE_SQL.format('i')}/2)*cos({ANGLE_SQL.format('j')}/2)+sin({ANGLE_SQL.format('i')}/2)*sin({ANGLE_SQL.format('j')}/2)))),6) AS angle FROM b")
+def frames_angular_separation(spark, sf_dir):
+    p = frames(spark, sf_dir)
+    t = F.col("point_id") * 40503 % 65536 * THETA / 2
+    q = p.select("frame", "point_id", F.cos(t).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(t).alias("qz"))
+    return environment.angular_separation(neighbors.ball(p, CUBE, 1.5), q).select("frame", "i", "j", r6("angle").alias("angle"))
+
+
+@query(frame_bonds_sql(1.5, extra=", c AS (SELECT frame, i, count(*) AS n FROM b GROUP BY 1, 2)") + "SELECT p.frame, p.id AS i, CAST(coalesce(n,0) AS BIGINT) AS n, CAST(coalesce(sum(n) OVER (PARTITION BY p.frame ORDER BY p.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS first FROM p LEFT JOIN c ON c.i=p.id AND c.frame=p.frame")
+def frames_neighbor_counts(spark, sf_dir):
+    p = frames(spark, sf_dir)
+    return neighbors.neighbor_counts(neighbors.ball(p, CUBE, 1.5), p)
+
+
+@query(f"WITH p AS ({FRAMES}), u AS (SELECT p.frame, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM p JOIN embeddings ON vec_id=id), v AS (SELECT frame, x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM u) SELECT frame, " + ", ".join(f"round(avg(1.5*{a}*{b}-{0.5 if a == b else 0.0}),6)+0.0 AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM v GROUP BY frame")
+def frames_nematic_tensor(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), *[F.col("embedding")[k].cast("double").alias(f"u{c}") for k, c in enumerate("xyz")])
+    t = order.nematic_tensor(frames(spark, sf_dir).select("frame", "point_id").join(e, "point_id"))
+    return t.select("frame", *[(r6(c) + 0.0).alias(c) for c in order.TENSOR])
