@@ -43,9 +43,16 @@ def _finish(rows: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
 
 
 def _sides(points: DataFrame, queries: DataFrame | None, by: list[str], carry: tuple[str, ...], query_carry: tuple[str, ...]):
+    """Queries and points under names of their own; rows without a place or an id take no part.
+
+    Coordinates that can't be null keep the generated code of a pair small enough
+    to be compiled.
+    """
     q = points if queries is None else queries
-    left = q.select(*by, F.col("point_id").alias("i"), *[F.col(c).alias(f"q{c}") for c in "xyz"], *[F.col(c).alias(f"i_{c}") for c in query_carry])
-    right = points.select(*by, F.col("point_id").alias("j"), *[F.col(c).alias(f"p{c}") for c in "xyz"], *[F.col(c).alias(f"j_{c}") for c in carry])
+    some = lambda df: df.where(" AND ".join(f"{c} IS NOT NULL" for c in ("point_id", "x", "y", "z", *by)))
+    place = lambda prefix: [F.coalesce(c, F.lit(0.0)).alias(f"{prefix}{c}") for c in "xyz"]
+    left = some(q).select(*by, F.col("point_id").alias("i"), *place("q"), *[F.col(c).alias(f"i_{c}") for c in query_carry])
+    right = some(points).select(*by, F.col("point_id").alias("j"), *place("p"), *[F.col(c).alias(f"j_{c}") for c in carry])
     return left, right
 
 
@@ -75,7 +82,8 @@ def ball(
     left, right = _sides(points, queries, by, carry, query_carry)
     carried = [f"i_{c}" for c in query_carry] + [f"j_{c}" for c in carry]
     n = [max(1, floor(d / r_max)) for d in box.plane_distances]
-    reach = 2 if min(n) < FEW_CELLS else 1
+    # smaller cells make more copies of each query and fewer candidates; points of one frame are the denser ones
+    reach = 2 if min(n) < FEW_CELLS and not by else 1
     n = [max(1, floor(reach * d / r_max)) for d in box.plane_distances] if reach > 1 else n
 
     def cells(df: DataFrame, prefix: str) -> DataFrame:
