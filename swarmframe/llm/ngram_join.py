@@ -51,6 +51,8 @@ HEAVY_SHARE = 10_000
 HEAVY_LEAST = 64
 #: Linked sets agree on one in so many of the parts that they can differ in.
 AGREE_SHARE = 6
+#: Parts that a group's rows are joined in.
+PARTS = 16
 #: Bits of a group's row of the matrix, as many as Spark's bitmap has.
 BITMAP = 8 * 4_096
 
@@ -291,7 +293,9 @@ def _across_groups(members: DataFrame, groups: DataFrame, sets: DataFrame, perce
     rows = _feasible(rows.join(mixed, "sig"), sets, percent, 2)
     nodes = rows.select("key", "root", "size", "slack").distinct()
     order = nodes.groupBy("root").agg(F.struct(F.count("*").alias("classes"), F.col("root")).alias("order"))
-    placed = rows.join(order, "root")
+    # a group may hold most rows, so it is met in parts
+    order = order.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    placed = rows.withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int")).join(order, ["root", "part"]).drop("part")
     present = placed.groupBy("sig", "root", "order").agg(F.max("slack").alias("best"), F.min("size").alias("low"), F.max("size").alias("high"))
     present = present.select("sig", F.col("root").alias("group"), F.col("order").alias("above"), "best", "low", "high")
     near = F.expr(f"100 * size >= {percent} * low AND 100 * high >= {percent} * size")
