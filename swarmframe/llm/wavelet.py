@@ -2,13 +2,17 @@
 
 A shard holds the ids of consecutive documents.  Its wavelet matrix (Claude,
 Navarro and Ordonez 2015) keeps one bit-plane for each bit of the shard's own
-alphabet; ranks over the planes give access to a token, counts of a token in any
-range and its occurrences, without a second copy of the ids.
+alphabet.  Beside each plane stands a directory of the ones before every block of
+512 bits (1/16 of the plane), so rank is one entry and at most eight popcounts, and
+select a search in the directory and in one block.  They give access to a token,
+counts of a token in any range and its occurrences, without a second copy of the
+ids; planes stay packed.
 
 File format, little-endian: magic ``SFWM``, version u16, planes u16, ids u64,
 alphabet u32, documents u32; then, each as u64 length and zstd bytes: alphabet
 (u32), first id of each document and the end (u64), doc_id (i64) and its
-presence (u8), and the planes (bits from the lowest).
+presence (u8), and for each plane its bits (from the lowest, in whole blocks) and
+its directory (u32).
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 from swarmframe.llm.store import materialize
 from swarmframe.llm.textbuf import slices
 
-MAGIC, VERSION = b"SFWM", 1
+MAGIC, VERSION = b"SFWM", 2
+#: Words of 64 bits in a block of a plane.
+BLOCK_WORDS = 8
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
 #: Documents for each sorted partition, and the most partitions.
@@ -39,6 +45,56 @@ END_ID = 0
 PIECES_KEPT = 300_000
 
 
+class Plane:
+    """Bits with rank and select: packed words, and the number of ones before each block."""
+
+    def __init__(self, words: np.ndarray, n: int, before: np.ndarray | None = None):
+        self.words, self.n = words, n
+        if before is None:
+            ones = np.bitwise_count(words).reshape(-1, BLOCK_WORDS).sum(axis=1, dtype=np.uint32)
+            before = np.concatenate([[0], np.cumsum(ones, dtype=np.uint32)]).astype(np.uint32)
+        self.before = before
+        self.zeros = n - int(before[-1])
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        packed = np.packbits(bits, bitorder="little")
+        whole = np.zeros(-(-len(packed) // (8 * BLOCK_WORDS)) * 8 * BLOCK_WORDS, np.uint8)
+        whole[: len(packed)] = packed
+        return cls(whole.view("<u8"), len(bits))
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def bit(self, i: int) -> bool:
+        return bool(int(self.words[i >> 6]) >> (i & 63) & 1)
+
+    def rank(self, i: int) -> int:
+        """Ones at places below i."""
+        word, block = i >> 6, i >> 9
+        found = int(self.before[block]) + int(np.bitwise_count(self.words[block * BLOCK_WORDS : word]).sum())
+        return found + (int(self.words[word]) & ((1 << (i & 63)) - 1)).bit_count() if i & 63 else found
+
+    def select(self, numbers: np.ndarray, one: bool) -> np.ndarray:
+        """Places of the ones (or zeros) with the given numbers, from 0."""
+        before = self.before.astype(np.int64) if one else np.arange(len(self.before)) * (64 * BLOCK_WORDS) - self.before
+        block = np.searchsorted(before, numbers, side="right") - 1
+        left, word = numbers - before[block], block * BLOCK_WORDS
+        words = self.words if one else ~self.words
+        for _ in range(BLOCK_WORDS - 1):
+            count = np.bitwise_count(words[word])
+            on = left >= count
+            left, word = left - np.where(on, count, 0), word + on
+        at, rest = np.zeros(len(numbers), np.int64), words[word]
+        for half in (32, 16, 8, 4, 2, 1):
+            low = rest & np.uint64((1 << half) - 1)
+            count = np.bitwise_count(low)
+            on = left >= count
+            left, at = left - np.where(on, count, 0), at + on * half
+            rest = np.where(on, rest >> np.uint64(half), low)
+        return word * 64 + at
+
+
 class WaveletMatrix:
     """ids of one shard; planes[k] are the bits of level k, the highest bit first."""
 
@@ -55,15 +111,16 @@ class WaveletMatrix:
         self.planes = []
         for k in range(self.depth - 1, -1, -1):
             bit = ((level >> k) & 1).astype(bool)
-            self.planes.append(bit)
-            level = np.concatenate([np.compress(~bit, level), np.compress(bit, level)])
-        self._ranks: list[np.ndarray] | None = None
+            self.planes.append(Plane.of(bit))
+            if k:
+                level = np.concatenate([np.compress(~bit, level), np.compress(bit, level)])
 
     # ------------------------------------------------------------- the file
 
     def to_bytes(self) -> bytes:
         pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [self.alphabet, self.first.astype(np.uint64), self.doc_ids.astype(np.int64), self.known.astype(np.uint8), *[np.packbits(p, bitorder="little") for p in self.planes]]
+        parts = [self.alphabet, self.first.astype(np.uint64), self.doc_ids.astype(np.int64), self.known.astype(np.uint8)]
+        parts += [x for p in self.planes for x in (p.words, p.before)]
         out = [MAGIC, struct.pack("<HHQII", VERSION, self.depth, self.n, len(self.alphabet), len(self.doc_ids))]
         for p in parts:
             body = pack(p.tobytes())
@@ -79,15 +136,14 @@ class WaveletMatrix:
         if version != VERSION:
             raise ValueError(f"version {version}")
         at, unpack, parts = 4 + struct.calcsize("<HHQII"), zstandard.ZstdDecompressor().decompress, []
-        for _ in range(4 + self.depth):
+        for _ in range(4 + 2 * self.depth):
             (size,) = struct.unpack_from("<Q", blob, at)
             parts.append(unpack(blob[at + 8 : at + 8 + size]))
             at += 8 + size
         self.alphabet = np.frombuffer(parts[0], np.uint32)
         self.first = np.frombuffer(parts[1], np.uint64).astype(np.int64)
         self.doc_ids, self.known = np.frombuffer(parts[2], np.int64), np.frombuffer(parts[3], np.uint8).astype(bool)
-        self.planes = [np.unpackbits(np.frombuffer(p, np.uint8), count=self.n, bitorder="little").view(bool) for p in parts[4:]]
-        self._ranks = None
+        self.planes = [Plane(np.frombuffer(w, "<u8"), self.n, np.frombuffer(b, "<u4")) for w, b in zip(parts[4::2], parts[5::2], strict=True)]
         if len(self.alphabet) != n_alphabet or len(self.doc_ids) != n_docs:
             raise ValueError("damaged file")
         return self
@@ -97,25 +153,21 @@ class WaveletMatrix:
     def ids(self) -> np.ndarray:
         """All ids in order: the stable partitions are undone from the lowest plane up."""
         level = np.zeros(self.n, dtype=np.uint16 if self.depth <= 16 else np.uint32)
-        for k, bit in enumerate(reversed(self.planes)):
-            zeros = self.n - int(np.count_nonzero(bit))
+        for k, plane in enumerate(reversed(self.planes)):
+            bit = plane.bits()
             back = np.empty_like(level)
-            back[np.flatnonzero(~bit)] = level[:zeros]
-            back[np.flatnonzero(bit)] = level[zeros:] | level.dtype.type(1 << k)
+            back[np.flatnonzero(~bit)] = level[: plane.zeros]
+            back[np.flatnonzero(bit)] = level[plane.zeros :] | level.dtype.type(1 << k)
             level = back
         return self.alphabet[level]
 
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        if self._ranks is None:
-            self._ranks = [np.concatenate([[0], np.cumsum(p)]) for p in self.planes]
-        return self._ranks
-
     def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         code = 0
-        for bit, ones in zip(self.planes, self.ranks, strict=True):
-            b = bool(bit[i])
-            i = self.n - ones[-1] + ones[i] if b else i - ones[i]
+        for plane in self.planes:
+            b, ones = plane.bit(i), plane.rank(i)
+            i = plane.zeros + ones if b else i - ones
             code = code << 1 | b
         return int(self.alphabet[code])
 
@@ -123,13 +175,12 @@ class WaveletMatrix:
         code = int(np.searchsorted(self.alphabet, token))
         if code >= len(self.alphabet) or self.alphabet[code] != token:
             return 0, 0
-        for k, ones in enumerate(self.ranks):
+        for k, plane in enumerate(self.planes):
             if code >> (self.depth - 1 - k) & 1:
-                zeros = self.n - ones[-1]
-                lo, hi = zeros + ones[lo], zeros + ones[hi]
+                lo, hi = plane.zeros + plane.rank(lo), plane.zeros + plane.rank(hi)
             else:
-                lo, hi = lo - ones[lo], hi - ones[hi]
-        return int(lo), int(hi)
+                lo, hi = lo - plane.rank(lo), hi - plane.rank(hi)
+        return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of token at places lo <= i < hi."""
@@ -142,12 +193,8 @@ class WaveletMatrix:
         places = np.arange(lo, hi)
         code = int(np.searchsorted(self.alphabet, token))
         for k in range(self.depth - 1, -1, -1):
-            bit = self.planes[k]
-            zeros = self.n - int(np.count_nonzero(bit))
-            if code >> (self.depth - 1 - k) & 1:
-                places = np.flatnonzero(bit)[places - zeros]
-            else:
-                places = np.flatnonzero(~bit)[places]
+            plane, one = self.planes[k], bool(code >> (self.depth - 1 - k) & 1)
+            places = plane.select(places - plane.zeros if one else places, one)
         return places
 
 
@@ -176,16 +223,19 @@ class IdEncoder:
         self.pieces: dict[bytes, bytes] = {}
         #: A special token with a space could be made of two joined pieces.
         self.joins = not any(" " in t for t in self.special)
+        #: Ids of tokens that begin with the sign of a space: of the first one of a piece that a space leads.
+        self.leads = np.zeros(self.library.get_vocab_size(), bool)
+        self.leads[[i for t, i in self.library.get_vocab().items() if t[:1] == "\u0120"]] = True
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Keep the ids of pieces; those that a space leads are cut apart again in one joined text."""
         led = [p for p in pieces if p[:1] == b" " and not p.isspace()] if self.joins else []
         if led:
-            found = self.library.encode(b"".join(led).decode(), add_special_tokens=False)
-            at = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(led) + 1)).tolist()
-            self._keep(led, at, np.array(found.ids, self.dtype))
+            (found,) = self.library.encode_batch_fast([b"".join(led).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            self._keep(led, [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)], ids)
         alone = [p for p in pieces if p not in self.pieces]
-        each = [e.ids for e in self.library.encode_batch([p.decode() for p in alone], add_special_tokens=False)]
+        each = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
         self._keep(alone, np.cumsum([0, *map(len, each)]).tolist(), np.array([i for ids in each for i in ids], self.dtype))
 
     def _keep(self, pieces: list[bytes], at: list[int], ids: np.ndarray) -> None:
@@ -203,7 +253,7 @@ class IdEncoder:
         self._learn([p for p in new if p not in self.pieces])
         get = self.pieces.__getitem__
         whole = [t for t, pieces in zip(texts, cut, strict=True) if pieces is None]
-        other = iter(self.library.encode_batch(whole, add_special_tokens=False))
+        other = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
         return [np.array(next(other).ids, self.dtype) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), self.dtype) for pieces in cut]
 
 

@@ -408,3 +408,20 @@ def test_linked_sets_share_the_parts_they_need():
                 if differ:
                     shared = np.intersect1d(keys[(owner == 0) & (level == own)], keys[(owner == 1) & (level == own)])
                     assert len(shared) >= levels.need[own]
+
+
+def test_rank_and_select():
+    rng = np.random.default_rng(9)
+    for n in (1, 63, 64, 65, 511, 512, 513, 5_000):
+        for share in (0.0, 0.03, 0.5, 1.0):
+            bits = rng.random(n) < share
+            plane = wavelet.Plane.of(bits)
+            assert (plane.bits() == bits).all() and plane.zeros == n - bits.sum()
+            for i in {0, n, *rng.integers(0, n + 1, 20).tolist()}:
+                assert plane.rank(i) == bits[:i].sum()
+            for one in (True, False):
+                places = np.flatnonzero(bits == one)
+                assert (plane.select(np.arange(len(places)), one) == places).all()
+    for ids in (np.zeros(700, int), np.arange(3), np.array([65_000, 7, 7])):
+        m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix(ids, np.array([0, len(ids)]), np.array([1]), np.array([True])).to_bytes())
+        assert (m.ids() == ids).all() and all((m.occurrences(t) == np.flatnonzero(ids == t)).all() for t in set(ids.tolist()))
