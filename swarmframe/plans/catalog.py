@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmframe.functions.box import Box
-from swarmframe.operators import cluster, density, diffraction, environment, msd, neighbors, order, pmft
+from swarmframe.operators import cluster, density, diffraction, environment, msd, neighbors, order, pmft, voronoi
 from swarmframe.plans.shipping import ship_package
 from swarmframe.sources.points import SIDE, hashed_points, hashed_sql, periodic_buffer, read
 
@@ -518,3 +518,47 @@ def frames_nematic_tensor(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), *[F.col("embedding")[k].cast("double").alias(f"u{c}") for k, c in enumerate("xyz")])
     t = order.nematic_tensor(frames(spark, sf_dir).select("frame", "point_id").join(e, "point_id"))
     return t.select("frame", *[(r6(c) + 0.0).alias(c) for c in order.TENSOR])
+
+
+# ----------------------------------------------------------------- tessellation
+
+
+def nation_square(spark: SparkSession, sf_dir: str) -> tuple[Box, DataFrame]:
+    """The 25 nations on a square lattice of spacing 2."""
+    k = F.col("n_nationkey").cast("long")
+    at = [(k % 5 * 2 - 4).cast("double"), (F.floor(k / 5) * 2 - 4).cast("double"), F.lit(0.0)]
+    return Box.square(10.0), read(spark, sf_dir, "nation").select(k.alias("point_id"), *[v.alias(c) for v, c in zip(at, "xyz", strict=True)])
+
+
+NATIONS = "WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS i, n_nationkey % 5 AS a, n_nationkey // 5 AS b FROM nation) "
+
+
+@query(NATIONS + "SELECT i, CAST(((a + s.da + 5) % 5) + 5 * ((b + s.db + 5) % 5) AS BIGINT) AS j, CAST(2*s.da AS DOUBLE) AS dx, CAST(2*s.db AS DOUBLE) AS dy, CAST(2 AS DOUBLE) AS distance, CAST(2 AS DOUBLE) AS weight FROM k CROSS JOIN (VALUES (1,0),(-1,0),(0,1),(0,-1)) s(da, db)")
+def voronoi_square(spark, sf_dir):
+    box, p = nation_square(spark, sf_dir)
+    bonds = voronoi.voronoi_bonds(voronoi.voronoi(p, box))
+    return bonds.select("i", "j", *[(F.round(c, 9) + 0.0).alias(c) for c in ("dx", "dy", "distance", "weight")])
+
+
+@query(f"WITH p AS ({hashed_sql('part', 'p_partkey', 2)}) SELECT count(*) AS cells, CAST(256 AS DOUBLE) AS area, 6*count(*) AS bonds, CAST(0 AS DOUBLE) AS one_sided FROM p")
+def voronoi_plane(spark, sf_dir):
+    """Cells of points in a periodic plane fill it, and have six neighbours on average (Euler)."""
+    cells = cluster.save(voronoi.voronoi(parts(spark, sf_dir, 2), SQUARE))
+    bonds = voronoi.voronoi_bonds(cells)
+    net = bonds.agg(F.count("*").alias("bonds"), F.round(F.sum(F.col("weight") * F.when(F.col("i") < F.col("j"), 1).otherwise(-1)), 6).alias("one_sided"))
+    return cells.agg(F.count("*").alias("cells"), F.round(F.sum("volume"), 6).alias("area")).crossJoin(net).select("cells", "area", "bonds", (F.col("one_sided") + 0.0).alias("one_sided"))
+
+
+@query(f"WITH p AS ({hashed_sql('supplier', 's_suppkey')}) SELECT count(*) AS cells, CAST(4096 AS DOUBLE) AS volume, CAST(0 AS DOUBLE) AS one_sided FROM p")
+def voronoi_space(spark, sf_dir):
+    """Cells of points in a periodic box fill it, and each face has the same area from both sides."""
+    cells = cluster.save(voronoi.voronoi(hashed_points(read(spark, sf_dir, "supplier"), "s_suppkey"), CUBE))
+    sided = voronoi.voronoi_bonds(cells).agg(F.round(F.sum(F.col("weight") * F.when(F.col("i") < F.col("j"), 1).when(F.col("i") > F.col("j"), -1).otherwise(0)), 5).alias("one_sided"))
+    return cells.agg(F.count("*").alias("cells"), F.round(F.sum("volume"), 5).alias("volume")).crossJoin(sided).select("cells", "volume", (F.col("one_sided") + 0.0).alias("one_sided"))
+
+
+@query(NATIONS + f"SELECT i AS point_id, CAST(4 AS DOUBLE) AS power_0, round(pow(CAST(4 AS DOUBLE), -1)/(4*pow(0.25, 3)),6) AS power_1, CAST(4 AS DOUBLE) AS log, CAST(4 AS DOUBLE) AS exp FROM k")
+def continuous_coordination(spark, sf_dir):
+    box, p = nation_square(spark, sf_dir)
+    out = voronoi.continuous_coordination(voronoi.voronoi(p, box), box, (2.0, 3.0))
+    return out.select("point_id", *[F.round(c, 6).alias(c) for c in ("power_0", "power_1", "log", "exp")])
