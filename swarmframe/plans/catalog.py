@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmframe.functions.box import Box
-from swarmframe.operators import cluster, density, diffraction, environment, msd, neighbors, order, pmft, voronoi
+from swarmframe.operators import cluster, density, diffraction, environment, matching, msd, neighbors, order, pmft, voronoi
 from swarmframe.plans.shipping import ship_package
 from swarmframe.sources.points import SIDE, hashed_points, hashed_sql, periodic_buffer, read
 
@@ -562,3 +562,125 @@ def continuous_coordination(spark, sf_dir):
     box, p = nation_square(spark, sf_dir)
     out = voronoi.continuous_coordination(voronoi.voronoi(p, box), box, (2.0, 3.0))
     return out.select("point_id", *[F.round(c, 6).alias(c) for c in ("power_0", "power_1", "log", "exp")])
+
+
+# ------------------------------------------------------------ environments
+
+#: Spherical harmonics up to degree 2 of a unit vector, with the Condon-Shortley phase.
+YLM = [
+    (0, 0, "sqrt(1/(4*pi()))", "0"), (1, 0, "sqrt(3/(4*pi()))*z", "0"), (1, 1, "-sqrt(3/(8*pi()))*x", "-sqrt(3/(8*pi()))*y"),
+    (2, 0, "sqrt(5/(16*pi()))*(3*z*z-1)", "0"), (2, 1, "-sqrt(15/(8*pi()))*x*z", "-sqrt(15/(8*pi()))*y*z"), (2, 2, "sqrt(15/(32*pi()))*(x*x-y*y)", "sqrt(15/(32*pi()))*2*x*y"),
+]
+YLM_SQL = " UNION ALL ".join(f"SELECT i, j, {l} AS l, {m} AS m, round({a},6)+0.0 AS re, round({b},6)+0.0 AS im FROM u" for l, m, a, b in YLM)
+
+
+def harmonics_of(rows: DataFrame) -> DataFrame:
+    return rows.select("i", "j", "l", "m", *[(r6(c) + 0.0).alias(c) for c in ("re", "im")])
+
+
+@query(bonds_sql(1.0, extra=", u AS (SELECT i, j, dx/d AS x, dy/d AS y, dz/d AS z FROM b)") + YLM_SQL)
+def local_descriptors(spark, sf_dir):
+    return harmonics_of(environment.local_descriptors(neighbors.ball(parts(spark, sf_dir), CUBE, 1.0), 2, False, "global"))
+
+
+@query(bonds_sql(1.0, extra=f", u AS (SELECT i, j, x/d AS x, y/d AS y, dz/d AS z FROM (SELECT *, {XY} FROM b))") + YLM_SQL)
+def local_descriptors_particle(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    return harmonics_of(environment.local_descriptors(neighbors.ball(p, CUBE, 1.0), 2, False, "particle_local", turned(p)))
+
+
+def turned_diagram_sql(mode: str, angle: str) -> str:
+    theta = TURN_SQL.format(f"atan2(dy,dx)+({angle})") if mode != "oocd" else "CAST(0 AS DOUBLE)"
+    phi = "acos(dz/d)" if mode != "oocd" else "CAST(0 AS DOUBLE)"
+    return f"SELECT '{mode}' AS mode, CAST(least(floor({theta}/{2 * pi / 8!r}),7) AS INT) AS bin_theta, CAST(least(floor({phi}/{pi / 6!r}),5) AS INT) AS bin_phi FROM b"
+
+
+@query(bonds_sql(1.5, extra=", v AS (" + " UNION ALL ".join(turned_diagram_sql(m, a) for m, a in (("lbod", f"-{ANGLE_SQL.format('j')}"), ("obcd", f"{ANGLE_SQL.format('i')}-{ANGLE_SQL.format('j')}"), ("oocd", "0"))) + "), h AS (SELECT mode, bin_theta, bin_phi, count(*) AS n FROM v GROUP BY 1, 2, 3)") + f"SELECT m.mode, a.bin_theta, f.bin_phi, CAST(coalesce(n,0) AS BIGINT) AS bin_count FROM (VALUES ('lbod'),('obcd'),('oocd')) m(mode) CROSS JOIN {axis_sql('bin_theta', 8)} a CROSS JOIN {axis_sql('bin_phi', 6)} f LEFT JOIN h ON h.mode=m.mode AND h.bin_theta=a.bin_theta AND h.bin_phi=f.bin_phi")
+def bond_order_modes(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    bonds, q = cluster.save(neighbors.ball(p, CUBE, 1.5)), turned(p)
+    found = [environment.bond_order(bonds, (8, 6), m, q).select(F.lit(m).alias("mode"), "bin_theta", "bin_phi", "bin_count") for m in ("lbod", "obcd", "oocd")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def moved_nations(spark: SparkSession, sf_dir: str) -> tuple[Box, DataFrame]:
+    """The square lattice with every seventh point moved along x."""
+    box, p = nation_square(spark, sf_dir)
+    return box, p.withColumn("x", F.col("x") + F.when(F.col("point_id") % 7 == 0, 0.375).otherwise(0.0))
+
+
+SQUARE_MOTIF = [(2.0, 0.0, 0.0), (-2.0, 0.0, 0.0), (0.0, 2.0, 0.0), (0.0, -2.0, 0.0)]
+MOVED = (
+    NATIONS + ", p AS (SELECT i, a*2-4+CASE WHEN i%7=0 THEN 0.375 ELSE 0 END AS x, b*2-4 AS y FROM k), raw AS (SELECT s.i, t.i AS j, t.x-s.x AS ux, t.y-s.y AS uy FROM p s CROSS JOIN p t WHERE s.i<>t.i), "
+    "e AS (SELECT i, j, CAST(ux-10*floor(ux/10+0.5) AS DOUBLE) AS dx, CAST(uy-10*floor(uy/10+0.5) AS DOUBLE) AS dy FROM raw), env AS (SELECT * FROM e WHERE dx*dx+dy*dy < 2.5*2.5), n AS (SELECT i, count(*) AS n FROM env GROUP BY i), "
+    "motif AS (SELECT * FROM (VALUES (2.0,0.0),(-2.0,0.0),(0.0,2.0),(0.0,-2.0)) m(mx, my)) "
+)
+
+
+@query(MOVED + ", c AS (SELECT env.i, count(*) AS hits FROM env JOIN motif ON pow(dx-mx,2)+pow(dy-my,2) < 0.2*0.2 GROUP BY env.i) SELECT n.i AS point_id, n=4 AND coalesce(hits,0)=4 AS matches FROM n LEFT JOIN c ON c.i=n.i")
+def motif_match(spark, sf_dir):
+    box, p = moved_nations(spark, sf_dir)
+    return matching.motif_match(p, neighbors.ball(p, box, 2.5), SQUARE_MOTIF, 0.2, box=box)
+
+
+@query(MOVED + ", d AS (SELECT env.i, j, min(pow(dx-mx,2)+pow(dy-my,2)) AS d2 FROM env CROSS JOIN motif GROUP BY 1, 2) SELECT n.i AS point_id, CASE WHEN n=4 THEN round(sqrt(sum(d2)/4),9)+0.0 ELSE -1.0 END AS rmsd FROM n JOIN d ON d.i=n.i GROUP BY n.i, n")
+def motif_rmsd(spark, sf_dir):
+    box, p = moved_nations(spark, sf_dir)
+    return matching.motif_rmsd(p, neighbors.ball(p, box, 2.5), SQUARE_MOTIF, box=box).select("point_id", (F.round("rmsd", 9) + 0.0).alias("rmsd"))
+
+
+@query("WITH RECURSIVE " + MOVED[5:].rstrip() + ", s AS (SELECT f.i, f.j FROM env f JOIN n ni ON ni.i=f.i JOIN n nj ON nj.i=f.j AND nj.n=ni.n JOIN env a ON a.i=f.i JOIN env b ON b.i=f.j AND pow(a.dx-b.dx,2)+pow(a.dy-b.dy,2) < 0.2*0.2 GROUP BY f.i, f.j, ni.n HAVING count(*)=ni.n), w(id, r) AS (SELECT i, i FROM k UNION SELECT s.j, w.r FROM w JOIN s ON s.i=w.id), root AS (SELECT id, min(r) AS root FROM w GROUP BY id) SELECT id AS point_id, dense_rank() OVER (ORDER BY root)-1 AS cluster FROM root")
+def environment_clusters(spark, sf_dir):
+    box, p = moved_nations(spark, sf_dir)
+    bonds = neighbors.ball(p, box, 2.5)
+    return matching.environment_clusters(p, bonds, bonds, 0.2)
+
+
+# ------------------------------------------------- more forms of earlier ones
+
+
+@query(bonds_sql(7.9, extra=", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM b)") + "SELECT i, j, round(d,9) AS distance FROM r WHERE k <= 6 AND d < 0.9")
+def knn_within(spark, sf_dir):
+    return neighbors.nearest(parts(spark, sf_dir), CUBE, 6, r_max=0.9).select("i", "j", F.round("distance", 9).alias("distance"))
+
+
+@query(bonds_sql(2.0, extra=", r AS (SELECT *, 1+0.5*(j%3) AS rj, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM b), f AS (SELECT a.i, min(a.n) AS stop FROM r a JOIN r k ON a.i=k.i AND k.n < a.n WHERE k.d*k.d*k.d*(a.rj*a.rj) < (a.dx*k.dx+a.dy*k.dy+a.dz*k.dz)*a.d*(k.rj*k.rj) GROUP BY a.i)") + "SELECT r.i, r.j FROM r JOIN f ON f.i=r.i WHERE n < stop")
+def filter_rad_radii(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    radii = p.select("point_id", (1 + 0.5 * (F.col("point_id") % 3)).alias("radius"))
+    return neighbors.rad(neighbors.ball(p, CUBE, 2.0), incomplete="drop", radii=radii).select("i", "j")
+
+
+@query(bonds_sql(2.0, extra=", u AS (SELECT i, dx/d AS x, dy/d AS y, dz/d AS z FROM b), y AS (SELECT i, " + ", ".join(f"avg({y}) AS y{k}" for k, y in enumerate(Y4)) + " FROM u GROUP BY i)") + "SELECT round(sqrt(4/CAST(9 AS DOUBLE)*(" + "+".join(f"pow(avg(y{k}),2)" for k in range(9)) + ")),6) AS q FROM y")
+def steinhardt_system(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    return order.steinhardt_system(p, neighbors.ball(p, CUBE, 2.0), 4).select(r6("q").alias("q"))
+
+
+@query(REACH + "SELECT max(size) AS size FROM n")
+def largest_cluster(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    return cluster.largest_cluster_size(cluster.clusters(p, neighbors.ball(p, CUBE, 0.6)))
+
+
+J0_SQL = "(" + "+".join(f"cos({{0}}*sin({pi * (m + 0.5) / 64!r}))" for m in range(64)) + ")/64"
+
+
+@query(f"WITH p AS ({hashed_sql('supplier', 's_suppkey', 2)}), u AS (SELECT b.x-a.x AS x, b.y-a.y AS y FROM p a CROSS JOIN p b), d AS (SELECT sqrt(pow(x-16*floor(x/16+0.5),2)+pow(y-16*floor(y/16+0.5),2)) AS d FROM u), s AS (SELECT " + ", ".join(f"sum({J0_SQL.format(f'({k}*d)')}) AS k{n}" for n, k in enumerate(K)) + " FROM d), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM p) " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS k_index, CAST({k} AS DOUBLE) AS k, round(k{n}/n,4)+0.0 AS s FROM s, c" for n, k in enumerate(K)))
+def structure_factor_debye_plane(spark, sf_dir):
+    p = hashed_points(read(spark, sf_dir, "supplier"), "s_suppkey", 2)
+    out = diffraction.debye(neighbors.all_pairs(p, SQUARE, exclude_ii=False), p.count(), K, dims=2)
+    return out.select("k_index", "k", (F.round("s", 4) + 0.0).alias("s"))
+
+
+@query(f"WITH p AS ({hashed_sql('customer', 'c_custkey')}), q AS ({hashed_sql('supplier', 's_suppkey')}), k(n, bin, kx, ky, kz) AS (VALUES " + ", ".join(f"({n},{b},CAST({x!r} AS DOUBLE),CAST({y!r} AS DOUBLE),CAST({z!r} AS DOUBLE))" for n, b, x, y, z in KV) + "), f AS (SELECT n, bin, sum(cos(kx*x+ky*y+kz*z)) AS c, sum(sin(kx*x+ky*y+kz*z)) AS s FROM p CROSS JOIN k GROUP BY 1, 2), g AS (SELECT n, sum(cos(kx*x+ky*y+kz*z)) AS c, sum(sin(kx*x+ky*y+kz*z)) AS s FROM q CROSS JOIN k GROUP BY 1), t AS (SELECT (SELECT count(*) FROM p)+(SELECT count(*) FROM q) AS n) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n_k, round(avg((f.c*g.c+f.s*g.s)/t.n),5)+0.0 AS s FROM f JOIN g ON g.n=f.n CROSS JOIN t GROUP BY bin")
+def structure_factor_partial(spark, sf_dir):
+    p, q = hashed_points(read(spark, sf_dir, "customer"), "c_custkey"), hashed_points(read(spark, sf_dir, "supplier"), "s_suppkey")
+    out = diffraction.direct(p, CUBE, 4, 1.6, queries=q, n_total=p.count() + q.count())
+    return out.select("bin", "n_k", (F.round("s", 5) + 0.0).alias("s"))
+
+
+@query(f"WITH p AS ({hashed_sql('part', 'p_partkey')}), g AS (SELECT CAST(floor((x/16+0.5)*8) AS INT) AS u, CAST(floor((y/16+0.5)*8) AS INT) AS v, count(*) AS w FROM p GROUP BY 1, 2), o AS (SELECT a.r, b.c FROM {axis_sql('r', 8)} a CROSS JOIN {axis_sql('c', 8)} b), t AS (SELECT sum(w) AS n FROM g) SELECT r AS row, c AS col, round((pow(sum(w*cos({2 * pi!r}*((c-4)*u+(r-4)*v)/8)),2)+pow(sum(w*sin({2 * pi!r}*((c-4)*u+(r-4)*v)/8)),2))/max(n),6)+0.0 AS s FROM o CROSS JOIN g CROSS JOIN t GROUP BY r, c")
+def diffraction_pattern(spark, sf_dir):
+    out = diffraction.diffraction_pattern(parts(spark, sf_dir), CUBE, 8, 8, zoom=1.0, peak_width=0.0)
+    return out.select("row", "col", (r6("s") + 0.0).alias("s"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from itertools import product
+from math import cos, radians, sin
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +47,34 @@ LATTICES = {
     "hcp": ((1, 3**0.5, 8**0.5 / 3**0.5), ((0, 0, 0), (0.5, 0.5, 0), (0.5, 5 / 6, 0.5), (0, 1 / 3, 0.5))),
     "square": ((1, 1, 0), ((0, 0, 0),)),
     "hex": ((1, 3**0.5, 0), ((0, 0, 0), (0.5, 0.5, 0))),
-    "graphene": ((3**0.5, 1, 0), ((1 / 6, 0, 0), (1 / 2, 1 / 2, 0), (5 / 6, 0, 0), (0, 1 / 2, 0))),
+    "graphene": ((1, 3**0.5, 0), ((0, 0, 0), (0, 1 / 3, 0), (1 / 2, 5 / 6, 0), (1 / 2, 1 / 2, 0))),
 }
 
 
-def lattice(spark: SparkSession, name: str, replicas: int | tuple[int, ...] = 1, scale: float = 1.0, noise: float = 0.0, seed: int = 0) -> tuple[Box, DataFrame]:
-    """The box and points of a replicated lattice; Gaussian noise on request."""
-    size, basis = LATTICES[name]
-    flat = size[2] == 0
-    n = (replicas,) * 3 if isinstance(replicas, int) else tuple(replicas)
-    n = (*n[:2], 1 if flat else n[2])
-    box = Box(*[s * k * scale for s, k in zip(size, n, strict=True)])
+def rectangular_cell(aspect: float, centered: bool = False) -> tuple[Box, tuple]:
+    """A cell of sides 1 and ``aspect``, with a second point in its middle if centred."""
+    return Box(1.0, float(aspect)), ((0, 0, 0), (0.5, 0.5, 0)) if centered else ((0, 0, 0),)
+
+
+def oblique_cell(aspect: float, degrees: float) -> tuple[Box, tuple]:
+    """A cell of sides 1 and ``aspect`` at an angle."""
+    if not 0 < degrees < 180:
+        raise ValueError("the angle lies between 0 and 180 degrees")
+    high = aspect * sin(radians(degrees))
+    return Box(1.0, high, 0.0, aspect * cos(radians(degrees)) / high), ((0, 0, 0),)
+
+
+def lattice(spark: SparkSession, name, replicas: int | tuple[int, ...] = 1, scale: float = 1.0, noise: float = 0.0, seed: int = 0) -> tuple[Box, DataFrame]:
+    """The box and points of a replicated lattice; Gaussian noise on request.
+
+    name: of a common lattice, or a (cell, basis) pair such as ``oblique_cell`` makes.
+    """
+    cell, basis = (Box(*LATTICES[name][0]), LATTICES[name][1]) if isinstance(name, str) else name
+    n = (replicas,) * 3 if isinstance(replicas, int) else (*replicas, 1)[:3]
+    n = (*n[:2], 1 if cell.is2d else n[2])
+    a, b, c = cell.Lx * n[0] * scale, cell.Ly * n[1] * scale, cell.Lz * n[2] * scale
+    # tilts are ratios to the second and third side, which grow by other numbers than the first
+    box = Box(a, b, c, cell.xy, cell.xz, cell.yz)
     cells = spark.range(n[0] * n[1] * n[2]).select("id", (F.col("id") % n[0]).alias("i"), (F.floor(F.col("id") / n[0]) % n[1]).alias("j"), F.floor(F.col("id") / (n[0] * n[1])).alias("k"))
     places = F.array(*[F.struct(F.lit(b).alias("b"), *[F.lit(float(v)).alias(f"f{c}") for c, v in enumerate(f)]) for b, f in enumerate(basis)])
     rows = cells.select("id", "i", "j", "k", F.explode(places).alias("p"))
@@ -129,3 +148,73 @@ def periodic_buffer(points: DataFrame, box: Box, buffer, images: bool = False, i
         return wide, rows.select("point_id", *[v.alias(c) for v, c in zip(moved, "xyz", strict=True)], "ix", "iy", "iz")
     wide = Box(box.Lx + 2 * sizes[0], box.Ly + 2 * sizes[1], 0.0 if box.is2d else box.Lz + 2 * sizes[2], box.xy, box.xz, box.yz)
     return wide, rows.where(wide.contains(tuple(F.col(c) for c in "xyz")))
+
+
+#: Data names of a cell and of atoms' places in a crystallographic file: fixed values.
+CIF_CELL = ("_cell_length_a", "_cell_length_b", "_cell_length_c", "_cell_angle_alpha", "_cell_angle_beta", "_cell_angle_gamma")
+CIF_PLACE = ("_atom_site_fract_x", "_atom_site_fract_y", "_atom_site_fract_z")
+CIF_SYMMETRY = ("_space_group_symop_operation_xyz", "_symmetry_equiv_pos_as_xyz")
+
+
+def _cif_number(text: str) -> float:
+    """A number without its uncertainty in brackets."""
+    return float(text.partition("(")[0])
+
+
+def _cif_loops(lines: list[str]):
+    """Names and rows of each loop of a crystallographic file."""
+    at = 0
+    while at < len(lines):
+        at += 1
+        if lines[at - 1].strip().lower() != "loop_":
+            continue
+        names, rows = [], []
+        while at < len(lines) and lines[at].strip().startswith("_"):
+            names.append(lines[at].split()[0].lower())
+            at += 1
+        while at < len(lines) and (row := lines[at].strip()) and not row.startswith(("_", "#")) and row.lower() != "loop_" and not row.lower().startswith("data_"):
+            rows.append([a or b or c for a, b, c in re.findall(r"'([^']*)'|\"([^\"]*)\"|(\S+)", row)])
+            at += 1
+        yield names, rows
+
+
+def _symmetry(operation: str) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and shift of an operation like ``-x, y+1/2, z``."""
+    turn, shift = np.zeros((3, 3)), np.zeros(3)
+    for row, part in enumerate(operation.lower().replace(" ", "").split(",")):
+        for sign, number, axis in re.findall(r"([+-]?)(\d+(?:\.\d+)?(?:/\d+)?)?\*?([xyz])?", part):
+            if not number and not axis:
+                continue
+            top, _, below = number.partition("/")
+            value = (float(top) / float(below or 1) if number else 1.0) * (-1 if sign == "-" else 1)
+            if axis:
+                turn[row, "xyz".index(axis)] += value
+            else:
+                shift[row] += value
+    return turn, shift
+
+
+def read_cif(spark: SparkSession, path: str) -> tuple[Box, DataFrame]:
+    """The cell and all points in it of a crystallographic file: atoms' places under every symmetry, each place once.
+
+    The file is one cell and read on the driver, through Spark's readers.
+    """
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    cell = {w[0].lower(): _cif_number(w[1]) for w in (x.split() for x in lines) if len(w) == 2 and w[0].lower() in CIF_CELL}
+    box = Box.from_lengths_and_angles(*[cell[k] for k in CIF_CELL])
+    places, operations = [], ["x,y,z"]
+    for names, rows in _cif_loops(lines):
+        if CIF_PLACE[0] in names:
+            places += [[_cif_number(r[names.index(k)]) for k in CIF_PLACE] for r in rows]
+        for k in CIF_SYMMETRY:
+            if k in names:
+                operations = [r[names.index(k)] for r in rows]
+    found: list[np.ndarray] = []
+    for f in np.array(places).reshape(-1, 3):
+        for turn, shift in map(_symmetry, operations):
+            g = (turn @ f + shift) % 1
+            if not any((np.abs((g - h + 0.5) % 1 - 0.5) < 1e-3).all() for h in found):
+                found.append(g)
+    f = (np.array(found).reshape(-1, 3) + 0.5) % 1 - 0.5
+    at = f @ np.array(box.lattice_vectors)
+    return box, spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(at)], "point_id long, x double, y double, z double")
