@@ -42,7 +42,8 @@ SHARD_IDS = 1 << 20
 PARTITION_ROWS = 4_096
 MOST_PARTITIONS = 10_000
 END_ID = 0
-PIECES_KEPT = 300_000
+#: Pieces whose ids a worker keeps, about 160 bytes each; beyond that it starts afresh.
+PIECES_KEPT = 1_500_000
 
 
 class Plane:
