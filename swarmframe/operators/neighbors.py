@@ -123,7 +123,7 @@ def ball(
         rows = rows.select(*by, F.explode(F.array(F.struct(*columns), F.struct(*back))).alias("_b")).select(*by, "_b.*")
     if not exclude and r_min <= 0:
         zero = [F.lit(0.0).alias(c) for c in ("dx", "dy", "dz", "distance")]
-        selves = points.select(*by, F.col("point_id").alias("i"), F.col("point_id").alias("j"), *zero, F.lit(1.0).alias("weight"), *[F.col(c).alias(f"{p}_{c}") for p in "ij" for c in carry])
+        selves = points.where(" AND ".join(f"{c} IS NOT NULL" for c in ("point_id", "x", "y", "z", *by))).select(*by, F.col("point_id").alias("i"), F.col("point_id").alias("j"), *zero, F.lit(1.0).alias("weight"), *[F.col(c).alias(f"{p}_{c}") for p in "ij" for c in carry])
         rows = rows.unionByName(selves)
     return rows
 
