@@ -233,9 +233,9 @@ def neighbor_counts(bonds: DataFrame, queries: DataFrame) -> DataFrame:
     return prefix_sum(rows, by, "i", "n", "first").select(*by, "i", "n", "first")
 
 
-def limited(bonds: DataFrame, most: int) -> DataFrame:
-    """At most so many bonds of each query point, the nearest ones."""
-    order = Window.partitionBy(*_frame(bonds), "i").orderBy("distance", "j")
+def limited(bonds: DataFrame, most: int, nearest_first: bool = False) -> DataFrame:
+    """At most so many bonds of each query point: the first by j, or the nearest ones."""
+    order = Window.partitionBy(*_frame(bonds), "i").orderBy(*(["distance"] if nearest_first else []), "j")
     return bonds.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 

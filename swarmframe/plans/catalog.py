@@ -684,3 +684,18 @@ def structure_factor_partial(spark, sf_dir):
 def diffraction_pattern(spark, sf_dir):
     out = diffraction.diffraction_pattern(parts(spark, sf_dir), CUBE, 8, 8, zoom=1.0, peak_width=0.0)
     return out.select("row", "col", (r6("s") + 0.0).alias("s"))
+
+
+CUBE_SQL = (
+    QUAT_SQL.split(", d AS")[0]
+    + ", x AS (SELECT vec_id, 1-2*(y*y+z*z) AS ax, 2*(x*y+w*z) AS ay, 2*(x*z-w*y) AS az, 2*(x*y-w*z) AS bx, 1-2*(x*x+z*z) AS b_y, 2*(y*z+w*x) AS bz, 2*(x*z+w*y) AS cx, 2*(y*z-w*x) AS cy, 1-2*(x*x+y*y) AS cz FROM q), m AS (SELECT vec_id, "
+    + ", ".join("+".join(f"pow({x},{a})*pow({y},{b})*pow({z},{c})" for x, y, z in (("ax", "ay", "az"), ("bx", "b_y", "bz"), ("cx", "cy", "cz"))) + f" AS m{n}" for n, (a, b, c) in enumerate(order.POWERS))
+    + " FROM x), g AS (SELECT " + ", ".join(f"2*avg(m{n})-{i!r} AS g{n}" for n, i in enumerate(order.ISOTROPIC)) + " FROM m) SELECT vec_id AS point_id, round(1-("
+    + "+".join(f"{t}*pow(g{n}-(2*m{n}-{i!r}),2)" for n, (t, i) in enumerate(zip(order.TIMES, order.ISOTROPIC, strict=True))) + ")/("
+    + "+".join(f"{t}*pow(2*m{n}-{i!r},2)" for n, (t, i) in enumerate(zip(order.TIMES, order.ISOTROPIC, strict=True))) + "),6)+0.0 AS \"order\" FROM m CROSS JOIN g"
+)
+
+
+@query(CUBE_SQL)
+def cubatic_particles(spark, sf_dir):
+    return order.cubatic_particles(quaternions(spark, sf_dir)).select("point_id", (r6("order") + 0.0).alias("order"))

@@ -121,12 +121,42 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").mapInArrow(run, schema)
 
 
+def _box_and_points(system):
+    """The box and places of a frame object of a simulation package, by the attributes that it has."""
+    if isinstance(system, tuple):
+        return system
+    if hasattr(system, "triclinic_dimensions") and hasattr(system, "positions"):  # time steps of trajectories
+        a, b, c, alpha, beta, gamma = map(float, system.triclinic_dimensions.ravel()) if np.shape(system.triclinic_dimensions) == (6,) else (0.0,) * 6
+        box = Box.from_lengths_and_angles(a, b, c, alpha, beta, gamma) if a else Box.from_matrix(np.asarray(system.triclinic_dimensions).T.tolist())
+        return box, system.positions
+    if hasattr(system, "configuration") and hasattr(system, "particles"):  # snapshots with a configuration
+        lx, ly, lz, xy, xz, yz = map(float, system.configuration.box)
+        flat = system.configuration.dimensions == 2  # whose third side is 1, not 0
+        return Box(lx, ly, 0.0, xy) if flat else Box(lx, ly, lz, xy, xz, yz), system.particles.position
+    if hasattr(system, "cell") and hasattr(system, "particles"):  # data collections
+        box = Box.from_matrix(np.asarray(system.cell.matrix)[:, :3].tolist())
+        return Box(box.Lx, box.Ly, 0.0, box.xy) if system.cell.is2D else box, system.particles.positions
+    if hasattr(system, "box") and hasattr(system, "particles"):  # snapshots with a box
+        b = system.box
+        flat = getattr(b, "dimensions", 3) == 2
+        return Box(b.Lx, b.Ly, 0.0, b.xy) if flat else Box(*[float(getattr(b, k)) for k in ("Lx", "Ly", "Lz", "xy", "xz", "yz")]), system.particles.position
+    for name in ("points", "position", "positions"):
+        if hasattr(system, "box") and hasattr(system, name):
+            return system.box, getattr(system, name)
+    raise TypeError(f"no box and points in a {type(system).__name__}")
+
+
 def from_system(spark: SparkSession, system) -> tuple[Box, DataFrame]:
-    """(box, points) from a (box, rows or DataFrame) pair or an object with ``box`` and ``points``."""
-    box, points = system if isinstance(system, tuple) else (system.box, system.points)
+    """(box, points) from a (box, rows or DataFrame) pair or a frame object of a simulation package.
+
+    Frame objects are told by their attributes, so no package needs to be installed.
+    """
+    box, points = _box_and_points(system)
     if not isinstance(points, DataFrame):
         rows = [(i, *[float(c) for c in p], *[0.0] * (3 - len(p))) for i, p in enumerate(points)]
         points = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    if not isinstance(box, (Box, dict)) and not hasattr(box, "__len__"):
+        box = {k: getattr(box, k, 0.0) for k in ("Lx", "Ly", "Lz", "xy", "xz", "yz")}
     return Box.from_box(box), points
 
 

@@ -233,3 +233,38 @@ def test_accumulator_survives_a_restart(spark, tmp_path):
     one = RdfAccumulator(box, 2.0, 4)
     one.add(frames, 0)
     assert again.counts(spark) == [2 * n for n in one.counts()]
+
+
+def test_cubatic_of_particles(spark):
+    """A particle on the lattice axes has the order that annealing finds."""
+    rng = np.random.default_rng(2)
+    q = [(i, math.cos(t / 2), 0.0, 0.0, math.sin(t / 2)) for i, t in enumerate(rng.uniform(-0.05, 0.05, 100).tolist())] + [(100, 1.0, 0.0, 0.0, 0.0)]
+    rows = spark.createDataFrame(q, "point_id long, qw double, qx double, qy double, qz double")
+    each = {r["point_id"]: r["order"] for r in order.cubatic_particles(rows).collect()}
+    value, at = order.cubatic(rows)
+    assert each[100] == pytest.approx(value, abs=0.02) and max(each.values()) <= value + 1e-3
+    with pytest.raises(ValueError):
+        order.cubatic(rows, t_initial=0.1, t_final=1.0)
+
+
+def test_frame_objects(spark):
+    from types import SimpleNamespace as N
+
+    from swarmframe.sources.points import from_system
+
+    at = np.array([(0.5, 0.25, 0.0), (-1.0, 1.0, 0.0)])
+    sides = N(Lx=4.0, Ly=5.0, Lz=1.0, xy=0.1, xz=0.0, yz=0.0, dimensions=2)
+    systems = [
+        (Box(4, 5, 0, 0.1), at),
+        N(box=[4.0, 5.0, 0.0, 0.1, 0.0, 0.0], points=at),
+        N(configuration=N(box=[4.0, 5.0, 1.0, 0.1, 0.0, 0.0], dimensions=2), particles=N(position=at)),
+        N(box=sides, particles=N(position=at)),
+        N(cell=N(matrix=np.array([[4.0, 0.5, 0, 9], [0, 5.0, 0, 9], [0, 0, 1.0, 9]]), is2D=True), particles=N(positions=at)),
+    ]
+    for system in systems:
+        box, p = from_system(spark, system)
+        assert box.is2d and (box.Lx, box.Ly, box.xy) == pytest.approx((4, 5, 0.1)) and p.count() == 2
+    box, _ = from_system(spark, N(triclinic_dimensions=np.diag([3.0, 4.0, 5.0]), positions=at))
+    assert (box.Lx, box.Ly, box.Lz) == (3, 4, 5)
+    with pytest.raises(TypeError):
+        from_system(spark, N(x=1))
