@@ -10,12 +10,17 @@ merge (u, v) -> w in order of rank k:
 * the arc u -v-> goes: that pair would have been merged.
 * if u = v, the arc u -w-> goes too, since runs merge from the left.
 
-With every gadget built, an arc (t, x) is found in the transition table.  The table
-has |V| * |V| cells, so each cell is filled when it is first asked for: going back
-through the gadgets in reverse order needs only the younger of the two tokens at
-each step.  Encoding walks a word's symbols through a trie of arc labels and keeps,
-for each position, the one state that has an allowed path to it; decoding emits
-the labels of the arcs.
+All gadgets are built, in order, when a file is loaded.  Nearly all arcs are there,
+so a state's row is kept as the arcs that are not, by the gadget that took them:
+gadget k takes (u, v), so it is written to the row of u and to the column of v.  The
+state w starts with the row that v had at time k and with the column that u had, which
+is what its gadget says; arcs taken from them afterwards stay.  An arc (t, x) is there
+iff the row of t and the column of x name no gadget in common.  Rows and columns
+together have about 40 entries for each token.
+
+Encoding walks a word's symbols through a trie of arc labels and keeps, for each
+position, the one state that has an allowed path to it; arcs that were asked for are
+kept in a table of transitions.  Decoding emits the labels of the arcs.
 
 Special tokens in a text are found first, as the tokenizers library does; the
 library's own normalizer and pre-tokenizer split words.  Null counts as empty.
@@ -26,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -34,6 +40,8 @@ from swarmframe.llm.annotate import annotate
 #: Entries that a worker's tables may hold before they start afresh.
 PIECES_KEPT = 300_000
 ARCS_KEPT = 400_000
+#: Birth of a token that no text is ever cut into.
+NEVER = -2
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -59,20 +67,22 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
         size = max(vocab.values()) + 1
-        self.left, self.right = [-1] * size, [-1] * size
         self.born = [-1] * size
-        self.rank: dict[int, int] = {}
         self.size = size
-        for k, (u, v) in enumerate(merges):
-            a, b, w = vocab[u], vocab[v], vocab[u + v]
-            self.rank[a * size + b] = k
-            self.left[w], self.right[w], self.born[w] = a, b, k
+        gadgets = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        for k, (_, _, w) in enumerate(gadgets):
+            self.born[w] = k
+        # by token: the gadgets that took arcs which leave it, and which enter it, ascending
+        self.leaving: list[list[int]] = [[] for _ in range(size)]
+        self.entering: list[list[int]] = [[] for _ in range(size)]
+        for k, gadget in enumerate(gadgets):
+            self._add_gadget(k, *gadget)
         # labels inside a word and at its end (without the suffix), and the longest of them
         self.inner: dict[str, int] = {}
         self.last: dict[str, int] = {}
         for token, i in vocab.items():
             n = len(self.symbols(token))
-            if self.born[i] >= 0 or n == 1:
+            if self.born[i] >= 0 or n == 1 and self.born[i] != NEVER:
                 if suffix and token.endswith(suffix) and token != suffix:
                     self.last[token[: -len(suffix)]] = i
                 else:
@@ -96,23 +106,27 @@ class MergeAutomaton:
         if known is None:
             if len(self.table) >= ARCS_KEPT:
                 self.table.clear()
-            known = self.table[cell] = self._through_gadgets(t, x)
+            known = self.table[cell] = set(self.leaving[t]).isdisjoint(self.entering[x])
         return known
 
-    def _through_gadgets(self, t: int, x: int) -> bool:
-        born, time = self.born, len(self.rank)
-        while True:
-            if self.rank.get(t * self.size + x, time) < time:
-                return False
-            if born[t] < 0 and born[x] < 0:
-                return True
-            if born[x] >= born[t]:
-                u = self.left[x]
-                if u == self.right[x] and t == u:
-                    return False
-                time, x = min(time, born[x]), u
-            else:
-                time, t = min(time, born[t]), self.right[t]
+    def _add_gadget(self, k: int, u: int, v: int, w: int) -> None:
+        """The merge (u, v) -> w of rank k; 2 * k names the arc u -v-> that it takes, 2 * k + 1 the arc u -w->.
+
+        Where an earlier gadget has taken the arc, the pair never stands side by side, and w is no state.
+        """
+        if self.born[u] == NEVER or self.born[v] == NEVER or not set(self.leaving[u]).isdisjoint(self.entering[v]):
+            if self.born[w] == k:
+                self.born[w] = NEVER
+            return
+        self.leaving[u].append(2 * k)
+        self.entering[v].append(2 * k)
+        if self.born[w] != k:
+            return
+        self.leaving[w] = self.leaving[v][: bisect_left(self.leaving[v], 2 * k)]
+        self.entering[w] = self.entering[u][: bisect_left(self.entering[u], 2 * k)]
+        if u == v:
+            self.leaving[u].append(2 * k + 1)
+            self.entering[w].append(2 * k + 1)
 
     def encode_sorted(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of pre-split words in ascending order; a word goes on from its prefix in the word before.

@@ -425,3 +425,30 @@ def test_rank_and_select():
     for ids in (np.zeros(700, int), np.arange(3), np.array([65_000, 7, 7])):
         m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix(ids, np.array([0, len(ids)]), np.array([1]), np.array([True])).to_bytes())
         assert (m.ids() == ids).all() and all((m.occurrences(t) == np.flatnonzero(ids == t)).all() for t in set(ids.tolist()))
+
+
+def test_compiled_automaton():
+    """Arcs are there iff merging by rank leaves the two tokens as they are."""
+    merges = [("a", "b"), ("b", "a"), ("a", "a"), ("ab", "ab"), ("aa", "a"), ("ab", "a"), ("c", "ab"), ("b", "c"), ("aa", "aa"), ("ba", "ba"), ("c", "c"), ("cc", "c")]
+    vocab = {t: i for i, t in enumerate(["a", "b", "c", *dict.fromkeys(u + v for u, v in merges)])}
+    rank = {m: k for k, m in enumerate(merges)}
+
+    def plain(word):
+        parts = list(word)
+        while True:
+            found = min(((rank[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank), default=None)
+            if not found:
+                return parts
+            parts[found[1] : found[1] + 2] = ["".join(parts[found[1] : found[1] + 2])]
+
+    a = bpe_automaton.MergeAutomaton(vocab, merges)
+    name = {i: t for t, i in vocab.items()}
+    real = [t for t in vocab if plain(t) == [t]]
+    for t in real:
+        for x in real:
+            assert a.arc(vocab[t], vocab[x]) == (plain(t + x) == [t, x]), (t, x)
+    rng = np.random.default_rng(3)
+    for n in range(1, 14):
+        for _ in range(60):
+            word = "".join(rng.choice(list("abc"), n))
+            assert [name[i] for i in a.encode(word)] == plain(word), word
