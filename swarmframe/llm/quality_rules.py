@@ -147,9 +147,8 @@ def base_metrics(words: Words) -> dict[str, np.ndarray]:
     n_docs = len(words.counts)
     chars = words.solid & ((words.data & 0xC0) != 0x80)
     starts, ends, line_doc = words.lines()
-    solid = np.zeros(len(words.data) + 1, dtype=np.int64)
-    np.cumsum(words.solid, out=solid[1:])
-    filled = solid[ends] > solid[starts]
+    # lines part words, so a line holds a word iff one begins in it
+    filled = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends, line_doc = starts[filled], ends[filled], line_doc[filled]
     again, _ = first_of_equals(line_doc, words.span_hash(starts, ends))
     first, grams = words.ngrams(3, words.hashes())

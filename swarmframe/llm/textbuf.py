@@ -140,11 +140,9 @@ class Words:
             out = out * _U(_BASE) + hashes[first + k]
         return first, mix(out)
 
-    def per_doc(self, values: np.ndarray) -> np.ndarray:
-        """Sums of a value per byte, by text."""
-        sums = np.zeros(len(values) + 1, dtype=np.int64)
-        np.cumsum(values, out=sums[1:])
-        return np.diff(sums[self.text_offsets])
+    def per_doc(self, marked: np.ndarray) -> np.ndarray:
+        """Number of marked bytes, by text."""
+        return np.diff(np.searchsorted(np.flatnonzero(marked), self.text_offsets))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text of every ``\\n``-split line, empty ones included."""
