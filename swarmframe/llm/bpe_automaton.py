@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 
 from swarmframe.llm.annotate import annotate
 
-#: Entries that a worker's tables may hold before they start afresh.
-PIECES_KEPT = 300_000
+#: Entries that a worker's tables may hold before they start afresh; a piece takes about 280 bytes.
+PIECES_KEPT = 1_000_000
 ARCS_KEPT = 400_000
 #: Birth of a token that no text is ever cut into.
 NEVER = -2
