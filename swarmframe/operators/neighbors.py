@@ -119,7 +119,7 @@ def ball(
     if not half:
         columns = [c for c in rows.columns if c not in by]
         swap = {"i": "j", "j": "i"} | {f"i_{c}": f"j_{c}" for c in carry} | {f"j_{c}": f"i_{c}" for c in carry}
-        back = [(-F.col(c) if c in ("dx", "dy", "dz") else F.col(swap.get(c, c))).alias(c) for c in columns]
+        back = [(F.lit(0.0) - F.col(c) if c in ("dx", "dy", "dz") else F.col(swap.get(c, c))).alias(c) for c in columns]
         rows = rows.select(*by, F.explode(F.array(F.struct(*columns), F.struct(*back))).alias("_b")).select(*by, "_b.*")
     if not exclude and r_min <= 0:
         zero = [F.lit(0.0).alias(c) for c in ("dx", "dy", "dz", "distance")]

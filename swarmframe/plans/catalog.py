@@ -6,12 +6,13 @@ dyadic coordinates, so both engines see the same distances.
 
 from __future__ import annotations
 
-from math import pi
+from math import comb, factorial, pi, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmframe.functions.box import Box
+from swarmframe.functions.sph import legendre_tail, wigner3j
 from swarmframe.operators import cluster, density, diffraction, environment, matching, msd, neighbors, order, pmft, voronoi
 from swarmframe.plans.shipping import ship_package
 from swarmframe.sources.points import SIDE, hashed_points, hashed_sql, periodic_buffer, read
@@ -281,10 +282,36 @@ def steinhardt_q4_average(spark, sf_dir):
     return order.steinhardt(p, neighbors.ball(p, CUBE, 2.0), 4, average=True).select("point_id", known(F.round("q", 5)).alias("q"))
 
 
-@query()
+def harmonics_sql(l: int) -> list[tuple[str, str]]:
+    """Real and imaginary part of Y_lm of (x, y, z) for m = 0..l."""
+    out = []
+    for m in range(l + 1):
+        scale = (-1) ** m * sqrt((2 * l + 1) / (4 * pi) * factorial(l - m) / factorial(l + m))
+        tail = "+".join(f"({scale * c!r})*pow(z,{k})" for k, c in enumerate(legendre_tail(l, m)) if c)
+        parts = ["+".join(f"({comb(m, k) * (1, 1, -1, -1)[k % 4]})*pow(x,{m - k})*pow(y,{k})" for k in range(odd, m + 1, 2)) or "0" for odd in (0, 1)]
+        out.append((f"({tail})*({parts[0]})", f"({tail})*({parts[1]})"))
+    return out
+
+
+def third_order_sql(l: int) -> str:
+    """The sum of three q_lm over all m with Wigner 3j symbols, from columns r0..rl, i0..il."""
+    part = lambda m: (f"r{m}", f"i{m}") if m >= 0 else (f"({(-1) ** m}*r{-m})", f"({-((-1) ** m)}*i{-m})")
+    terms = []
+    for m1 in range(-l, l + 1):
+        for m2 in range(max(-l, -l - m1), min(l, l - m1) + 1):
+            if c := wigner3j(l, m1, m2):
+                (a, b), (d, e), (f, g) = part(m1), part(m2), part(-m1 - m2)
+                terms.append(f"({c!r})*(({a}*{d}-{b}*{e})*{f}-({a}*{e}+{b}*{d})*{g})")
+    return "+".join(terms)
+
+
+@query(
+    bonds_sql(2.0, extra=", u AS (SELECT i, dx/d AS x, dy/d AS y, dz/d AS z FROM b), y AS (SELECT i, " + ", ".join(f"avg({re}) AS r{m}, avg({im}) AS i{m}" for m, (re, im) in enumerate(harmonics_sql(6))) + " FROM u GROUP BY i)")
+    + f"SELECT p.id AS point_id, round(({third_order_sql(6)})/pow(r0*r0+i0*i0+{'+'.join(f'2*(r{m}*r{m}+i{m}*i{m})' for m in range(1, 7))},1.5),6)+0.0 AS w FROM p LEFT JOIN y ON y.i=p.id"
+)
 def steinhardt_w6(spark, sf_dir):
     p = parts(spark, sf_dir)
-    return order.steinhardt_w(p, neighbors.ball(p, CUBE, 2.0), 6, normalize=True).select("point_id", F.round("w", 6).alias("w"))
+    return order.steinhardt_w(p, neighbors.ball(p, CUBE, 2.0), 6, normalize=True).select("point_id", known(F.round("w", 6) + 0.0).alias("w"))
 
 
 PAIR_IJ = P6_SQL.format("((a.dx*c.dx+a.dy*c.dy+a.dz*c.dz)/(a.d*c.d))")
