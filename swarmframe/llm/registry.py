@@ -76,19 +76,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_lm_scoring, op4_toxicity, op5_quality_rules, op6_token_ids, op7_ngram_jaccard_join, op8_quality_classifier, op9_nearest_neighbours, op10_bpe, pipeline)}
 
-#: Brute force over all pairs; products are added from the first component to the last, in double precision.
+#: Brute force over all pairs, in double precision; without lambdas, whose syntax differs between DuckDB's releases.
 OP9_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+WITH sound AS (
+  SELECT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE vec_id IS NOT NULL)
+  GROUP BY vec_id HAVING count(*) = count(x) AND bool_and(isfinite(x)) AND bool_or(x <> 0)),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN sound USING (vec_id)),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    list_reduce(list_transform(list_zip(q.e, c.e), x -> x[1] * x[2]), (a, b) -> a + b) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0),
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op9_nearest_neighbours": OP9_SQL}
+#: All pairs of documents that share a shingle, and what each one reaches over links.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN n < 3 THEN array_to_string(w, ' ') ELSE w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] END AS t FROM g),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * p.n >= 90 * (x.n + y.n - p.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, m.root AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
+"""
+
+ORACLE_SQL = {"op7_ngram_jaccard_join": OP7_SQL, "op9_nearest_neighbours": OP9_SQL}
