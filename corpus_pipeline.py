@@ -1,7 +1,10 @@
 """A corpus from raw documents to token ids, in five stages over shared storage.
 
 Each stage works on all that the stage before it kept, and its output is written
-as Parquet and read again.  The first four return the columns of documents.
+as Parquet and read again.  The first four return the columns of documents, whatever
+else these are named.  A null text counts as an empty one, rows that share an id or
+are equal are documents of their own unless a stage says otherwise, and an empty
+table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -24,14 +27,23 @@ def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict as toxic."""
+    """Documents that the toxicity model does not predict as toxic.
+
+    A null or empty text has no hits and stays; equal texts have equal scores, so
+    repeated rows stay or go together.  Without labels nothing is dropped.
+    """
     model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, toxicity.LABELLED_BOUND))
     plain, names = _plain(docs)
     return _named(toxicity.apply(plain, model, tuple(names)).where("predicted = 0"), names)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio.
+
+    A null or empty text has fewer words than the base rules ask for and goes; equal
+    texts stay or go together, a score on the threshold stays.  Without trusted rows
+    the base rules alone decide.
+    """
     model = quality_rules.fit(docs, labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 0, 0, quality_rules.LABELLED_BOUND))
     plain, names = _plain(docs)
     return _named(quality_rules.apply(plain, model, tuple(names)).where("kept"), names)
@@ -56,12 +68,16 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; at most one of each source is cut at its budget."""
+    """Documents as often as the mix takes them; at most one of each source is cut at its budget.
+
+    A text without words is in no copy.  A null source is one of its own.  Ties of the
+    key go by id, size and text; rows equal in all of these are interchangeable.
+    """
     return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; a null text has no ids, as an empty one."""
     return bpe_automaton.digests(docs)
 
 

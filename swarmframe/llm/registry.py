@@ -21,39 +21,47 @@ from swarmframe.llm.store import fold_is, labelled_sample, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page; a null or broken page gives what text it holds, at least an empty one."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document; null texts have no words, null is a source of its own."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text; a null text is its end alone, a null id is never held out."""
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole text; a null or empty text gets that of a text without hits."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(labelled_sample(docs, labels, "toxic", 3, 1, toxicity.LABELLED_BOUND))
     return toxicity.apply(docs, model).select("doc_id", fold_is("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every whole text; a null text has no words and is not kept."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_rules.fit(docs, labelled_sample(docs, labels, "quality", 0, 0, quality_rules.LABELLED_BOUND))
     return quality_rules.apply(docs, model)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, lengths and checksums of every document's ids, read back from the shards; null ids come first."""
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; texts without words are linked with nothing, equal sets are one class."""
     found = ngram_join.ngram_components(table(spark, sf_dir, "documents"), 3, 90)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole text; a null or empty text gets that of a text without n-grams."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labelled = labelled_sample(docs, labels, "quality", 4, 2, pu_quality.LABELLED_BOUND)
     model = pu_quality.fit(labelled, docs)
@@ -61,10 +69,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector; null, zero and non-finite vectors take no part, ties go to the smaller id."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text's ids and of their decoding; a null text has none."""
     return bpe_automaton.digests(table(spark, sf_dir, "documents"))
 
 
