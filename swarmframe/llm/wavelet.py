@@ -17,6 +17,7 @@ its directory (u32).
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -246,7 +247,19 @@ class IdEncoder:
         self.pieces.update((p, packed[w * a : w * b]) for p, a, b in zip(pieces, at[:-1], at[1:], strict=True))
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        """ids of each text."""
+        """ids of each text.
+
+        The many short-lived objects hold no cycles, so the collector of cycles rests meanwhile.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._many(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _many(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) >= PIECES_KEPT:
             self.pieces.clear()
         cut = [_PIECE.findall(t.encode()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
