@@ -222,6 +222,8 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # no piece is asked for twice here, so the library's own table would only fill
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces: dict[bytes, bytes] = {}
