@@ -26,6 +26,8 @@ BOND = ("i", "j", "dx", "dy", "dz", "distance", "weight")
 FEW_CELLS = 8
 #: Most buckets that a prefix sum orders in one task.
 PREFIX_BUCKETS = 4_096
+#: Neighbours that the first radius of a growing search holds on average; most shells close with fewer.
+SHELL = 26
 
 
 def _frame(df: DataFrame) -> list[str]:
@@ -262,16 +264,17 @@ def sann(bonds: DataFrame, incomplete: str = "keep") -> DataFrame:
     return _shell(rows, by, stop, incomplete).drop("_n", "_sum", "_stop")
 
 
-def rad(bonds: DataFrame, stop_at_blocked: bool = True, incomplete: str = "keep", radii: DataFrame | None = None) -> DataFrame:
+def rad(bonds: DataFrame, stop_at_blocked: bool = True, incomplete: str = "keep", radii: DataFrame | None = None, radius: str | None = None) -> DataFrame:
     """Relative angular distance: a neighbour stays unless a nearer one stands before it.
 
     radii: (point_id, radius) of the points, for particles of several sizes: solid
-    angles then go by (radius / distance) squared.
+    angles then go by (radius / distance) squared.  radius: the column of the bonds
+    that holds j's radius already.
     """
     by = _frame(bonds)
     order = Window.partitionBy(*by, "i").orderBy("distance", "j")
     rows = bonds.withColumn("_n", F.row_number().over(order))
-    rows = rows.join(radii.select(*_frame(radii), F.col("point_id").alias("j"), F.col("radius").alias("_r")), [*_frame(radii), "j"]) if radii is not None else rows.withColumn("_r", F.lit(1.0))
+    rows = rows.join(radii.select(*_frame(radii), F.col("point_id").alias("j"), F.col("radius").alias("_r")), [*_frame(radii), "j"]) if radii is not None else rows.withColumn("_r", F.col(radius) if radius else F.lit(1.0))
     k = rows.select(*by, "i", F.col("_n").alias("_k"), *[F.col(f"d{c}").alias(f"k{c}") for c in "xyz"], F.col("distance").alias("_dk"), F.col("_r").alias("_rk"))
     dot = F.col("dx") * F.col("kx") + F.col("dy") * F.col("ky") + F.col("dz") * F.col("kz")
     # (rj / dj)**2 < cos * (rk / dk)**2 with cos = dot / (dj * dk)
@@ -286,6 +289,46 @@ def rad(bonds: DataFrame, stop_at_blocked: bool = True, incomplete: str = "keep"
     return rows.join(hit, [*by, "i", "_n"], "left_anti").drop("_n", "_r")
 
 
+def _growing(points: DataFrame, box: Box, r_max: float, shell, incomplete: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(frame,) i, j, distance of the shells that ``shell`` closes, without all bonds below r_max at once.
+
+    Whether a bond closes a shell depends on nearer bonds only, so a shell that is
+    closed within a smaller radius is final.  The points whose shell isn't closed
+    search again with twice the radius; ``incomplete`` is for those left at r_max.
+    """
+    from swarmframe.operators.cluster import save
+
+    by = _frame(points)
+    count = points.groupBy(*by).count().agg(F.max("count")).first()[0] if by else points.count()
+    per_point = box.volume / max(count or 0, 1)
+    r = min(r_max, (SHELL * per_point / pi) ** 0.5 if box.is2d else (0.75 * SHELL * per_point / pi) ** (1 / 3))
+    found, left = None, points
+    while True:
+        bonds = ball(points, box, r, queries=None if left is points else left, exclude_ii=True, carry=carry, query_carry=carry if left is points else ())
+        closed = shell(bonds, "drop" if r < r_max else incomplete).select(*by, "i", "j", "distance")
+        closed = closed if r >= r_max else save(closed)
+        found = closed if found is None else found.unionByName(closed)
+        if r >= r_max:
+            return found
+        left = save(left.join(closed.select(*by, F.col("i").alias("point_id")).distinct(), [*by, "point_id"], "left_anti"))
+        if left.isEmpty():
+            return found
+        r = min(2 * r, r_max)
+
+
+def sann_within(points: DataFrame, box: Box, r_max: float, incomplete: str = "keep") -> DataFrame:
+    """The bonds of ``sann`` among all bonds below r_max: (frame,) i, j, distance."""
+    return _growing(points, box, r_max, sann, incomplete)
+
+
+def rad_within(points: DataFrame, box: Box, r_max: float, incomplete: str = "keep", radius: str | None = None) -> DataFrame:
+    """The bonds of ``rad``, up to the first blocked one, among all bonds below r_max: (frame,) i, j, distance.
+
+    radius: a column of points with the particles' radii.
+    """
+    return _growing(points, box, r_max, lambda bonds, rest: rad(bonds, True, rest, radius=f"j_{radius}" if radius else None), incomplete, (radius,) if radius else ())
+
+
 def interface(bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The points, and the query points, that have a bond to the other set."""
     by = _frame(bonds)
