@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,59 @@ def save(df: DataFrame, *done: DataFrame) -> DataFrame:
     return out
 
 
+#: Edges that a task collects before it reduces them.
+PENDING = 1 << 20
+WHOLE = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) that connect what the edges a, b connect."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def _thinned(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Of each task's edges (by, a, b) only a forest of stars: no more than a task has nodes, and the same components."""
+    kinds = dict(edges.dtypes)
+    if any(kinds[c] not in WHOLE for c in ("a", "b", *by)):
+        return edges
+    kind = WHOLE[kinds["a"]]
+
+    def run(batches):
+        found: dict = {}  # by frame: the forest and the edges since then
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in "ab")
+            frame = batch.column(by[0]).to_numpy() if by else np.zeros(len(a), np.int64)
+            for f in np.unique(frame):
+                own = slice(None) if f == frame[0] and (frame == f).all() else frame == f
+                tree, rest = found.setdefault(int(f), [(np.zeros(0, a.dtype), np.zeros(0, a.dtype)), []])
+                rest.append((a[own], b[own]))
+                if sum(len(r[0]) for r in rest[:: max(1, len(rest) // 8)]) * max(1, len(rest) // 8) > max(PENDING, 2 * len(tree[0])):
+                    found[int(f)] = [star_forest(*[np.concatenate([tree[k], *[r[k] for r in rest]]) for k in (0, 1)]), []]
+        for f, (tree, rest) in found.items():
+            a, b = star_forest(*[np.concatenate([tree[k], *[r[k] for r in rest]]) for k in (0, 1)])
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(a), f), WHOLE[kinds[c]]) for c in by], pa.array(a, kind), pa.array(b, kind)], [*by, "a", "b"])
+
+    return edges.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (*by, "a", "b")))
+
+
 def components(points: DataFrame, bonds: DataFrame) -> DataFrame:
     """(frame,) point_id, root: the least point that each one reaches over bonds, in rounds of large and small stars."""
     by = _frame(points)
     pair = lambda a, b: [*by, F.col(a).alias("a"), F.col(b).alias("b")]
-    edges = save(bonds.where("i <> j").select(*by, F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct())
+    edges = bonds.where("i <> j").select(*by, F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"))
+    edges = save(_thinned(edges, by).distinct())
     while True:
         ends = edges.select(*by, F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(*by, F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy(*by, "node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
