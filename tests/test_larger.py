@@ -1,9 +1,11 @@
 """Forms that keep searches small where points are dense, and keys of large tables."""
 
+import numpy as np
 import pytest
 
 from swarmframe.functions.box import Box
-from swarmframe.operators import neighbors
+from swarmframe.operators import cluster, neighbors, order
+from swarmframe.plans import catalog
 from swarmframe.sources.points import HASHES, hashed_points, random_system
 
 
@@ -45,3 +47,52 @@ def test_growing_rad_of_sizes(spark):
     got = distances(neighbors.rad_within(sized, box, 3.0, "drop", "radius"))
     assert got == distances(neighbors.rad(neighbors.ball(p, box, 3.0), incomplete="drop", radii=sized.select("point_id", "radius")))
     assert neighbors.rad_within(sized.limit(0), Box.cube(8.0), 3.0).count() == 0
+
+
+def joins(df):
+    """Joins of the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+@pytest.mark.parametrize("name", ["frames_pmft_xy", "frames_correlation", "frames_angular_separation", "local_descriptors_particle", "bond_order_modes"])
+def test_values_go_along_with_points(spark, sf, name, monkeypatch):
+    """Bonds are searched with their points' values and joined to none, and kept nowhere."""
+    kept = []
+    monkeypatch.setattr(cluster, "save", lambda df, *done: kept.append(df) or df)
+    own = {"frames_pmft_xy": 4, "frames_correlation": 7, "frames_angular_separation": 3, "local_descriptors_particle": 1, "bond_order_modes": 2}
+    assert joins(catalog.QUERIES[name](spark, sf)) <= own[name] and not kept
+
+
+def test_searched_twice(spark):
+    """An average and the scores of bonds that search again are those of joined bonds."""
+    box, p = random_system(spark, 8, 300, seed=5)
+    again = lambda points, names, half=False: neighbors.ball(points, box, 1.6, carry=names, half=half)
+    bonds = neighbors.ball(p, box, 1.6)
+    flat = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    near = lambda df, c, *keys: {tuple(r[k] for k in keys): pytest.approx(r[c], abs=1e-9, nan_ok=True) for r in df.collect()}
+    got = {(r["point_id"],): r["q"] for r in order.steinhardt(p, bonds, 4, average=True, search=again).collect()}
+    assert got == near(order.steinhardt(p, bonds, 4, average=True), "q", "point_id")
+    joined, found = order.solid_liquid(p, bonds, 6, 0.4, 2), order.solid_liquid(p, bonds, 6, 0.4, 2, search=again)
+    want = near(joined[0], "q_ij", "i", "j")
+    assert {(r["i"], r["j"]): r["q_ij"] for r in found[0].collect()} == want
+    assert {(r["i"], r["j"]): r["q_ij"] for r in order.solid_bonds(p, bonds, 6, True, again).collect()} == want
+    assert flat(joined[1]) == flat(found[1].select(joined[1].columns))
+
+
+def test_star_forest():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 400, (2, 260))
+    x, y = cluster.star_forest(a, b)
+    root = {int(n): int(n) for n in np.concatenate([a, b])}
+    for _ in root:
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            root[p] = root[q] = min(root[p], root[q])
+    assert dict(zip(x.tolist(), y.tolist(), strict=True)) == {n: r for n, r in root.items() if n != r}
+
+
+def test_debye_of_many_points(spark, sf, monkeypatch):
+    """The sum over all pairs isn't refused for their number."""
+    asked, pairs = [], neighbors.all_pairs
+    monkeypatch.setattr(neighbors, "all_pairs", lambda *a, most=10**11, **k: asked.append(most) or pairs(*a, most=most, **k))
+    catalog.QUERIES["structure_factor_debye"](spark, sf)
+    assert asked == [None]
