@@ -15,13 +15,17 @@ from swarmframe.functions.box import Box
 from swarmframe.operators.neighbors import _frame, ball
 
 
-def bin_of(value: Column, low: float, high: float, n: int) -> Column:
+def bin_of(value: Column, low: float, high: float, n: int, clamp: bool = True) -> Column:
     """Regular bins; -1 outside low <= value < high.
 
+    A value below high whose bin rounds up to n falls into the last bin.  Without
+    clamp it keeps n, which ``dense`` leaves out as well: it can't be told from high.
+
     Never null, so that a search for bonds doesn't take the bin's expression as
     a condition of its own; ``dense`` leaves -1 out.
     """
-    k = F.least(F.floor((value - low) / ((high - low) / n)), F.lit(n - 1)).cast("int")
+    k = F.floor((value - low) / ((high - low) / n))
+    k = (F.least(k, F.lit(n - 1)) if clamp else k).cast("int")
     return F.coalesce(F.when((value >= low) & (value < high), k), F.lit(-1))
 
 

@@ -1,5 +1,6 @@
 """Forms that keep searches small where points are dense, and keys of large tables."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -96,3 +97,15 @@ def test_debye_of_many_points(spark, sf, monkeypatch):
     monkeypatch.setattr(neighbors, "all_pairs", lambda *a, most=10**11, **k: asked.append(most) or pairs(*a, most=most, **k))
     catalog.QUERIES["structure_factor_debye"](spark, sf)
     assert asked == [None]
+
+
+@pytest.mark.parametrize("name", ["pmft_xy", "pmft_xyt", "pmft_r12"])
+def test_pmft_on_edges(spark, tmp_path, name):
+    """Bonds whose coordinate rounds up to the limit, and two points at one place, count as in SQL."""
+    keys = [*range(300), 34328, 99849, 32768, 45153, 110674]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
