@@ -82,28 +82,38 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, components added from the first to the last."""
-    out = np.zeros(len(vectors))
-    for j in range(len(query)):
-        out += vectors[:, j] * query[j]
-    return out
+    products = vectors.T * query[:, None]
+    # sums of one after the other, unlike those of sum(); 0.0 for the sign of a zero
+    return np.add.accumulate(products, axis=0, out=products)[-1] + 0.0 if len(query) else np.zeros(len(vectors))
 
 
-def estimates(codes: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
-    """Inner products of all codes with a rotated query, by popcounts, and the standard deviation of its rounding."""
+def estimates(codes: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inner products of all codes with a rotated query, by popcounts, and the standard deviation of its rounding.
+
+    ones: the number of set bits of each code.
+    """
     low, high = turned.min(), turned.max()
     step = (high - low) / ((1 << QUERY_BITS) - 1) or 1.0
     rounded = np.rint((turned - low) / step).astype(np.uint8)
-    met = np.zeros(codes.shape[1], np.int32)
-    for j in range(QUERY_BITS):
-        plane = np.packbits(rounded >> j & 1, bitorder="little").view("<u8")
-        for word, of in zip(codes, plane, strict=True):
-            met += np.bitwise_count(word & of).astype(np.int32) << j
-    ones = np.zeros(codes.shape[1], np.int32)
-    for word in codes:
-        ones += np.bitwise_count(word)
+    planes = np.packbits(rounded >> np.arange(QUERY_BITS, dtype=np.uint8)[:, None] & 1, axis=1, bitorder="little").view("<u8")
+    # sums of three words' counts fit a byte, those of a plane's 64 bits and more two
+    kind = np.uint16 if len(turned) < 1 << 16 - QUERY_BITS else np.int32
+    met, both = np.zeros(codes.shape[1], kind), np.empty(codes.shape[1], codes.dtype)
+    count, more = np.empty((2, codes.shape[1]), np.uint8)
+    for plane in planes[::-1]:
+        met += met
+        for w in range(0, len(codes), 3):
+            np.bitwise_count(np.bitwise_and(codes[w], plane[w], out=both), out=count)
+            for v in range(w + 1, min(w + 3, len(codes))):
+                count += np.bitwise_count(np.bitwise_and(codes[v], plane[v], out=both), out=more)
+            met += count
     # the code is 2 * bits - 1: twice the query's sum over set bits, less the sum over all
     total = step * rounded.sum(dtype=np.int64) + low * len(turned)
-    return (2 * (step * met + low * ones) - total) / np.sqrt(len(turned)), step / np.sqrt(12)
+    found = met * (2 * step)
+    found += ones * (2 * low)
+    found -= total
+    found /= np.sqrt(len(turned))
+    return found, step / np.sqrt(12)
 
 
 class Block:
@@ -116,23 +126,38 @@ class Block:
         self.center = np.frombuffer(row["center"], "<f8")
         self.codes = np.frombuffer(row["codes"], "<u8").reshape(-1, len(self.ids))
         self.scalar, self.length = np.frombuffer(row["scalar"], "<f8"), np.frombuffer(row["length"], "<f8")
-        self.spread = np.sqrt(np.maximum(1 - self.scalar**2, 0) / max(width(d) - 1, 1))
+        self.ones = np.bitwise_count(self.codes).sum(axis=0, dtype=np.int64).astype(float)
+        self.spread2 = np.maximum(1 - self.scalar**2, 0) / max(width(d) - 1, 1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.reach, self.slack = self.length / self.scalar, 1e-6 * (self.length + np.linalg.norm(self.center))
 
     def search(self, query_id: int, query: np.ndarray, size: float, turned: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and products of the k best that are not below bar."""
         with np.errstate(over="ignore", invalid="ignore"):
-            found, rounding = estimates(self.codes, turned)
-            reach = self.length * size / self.scalar
-            estimate = float(self.center @ query) + found * reach
-            bound = estimate + reach * SPAN * np.sqrt(self.spread**2 + rounding**2) + 1e-6 * size * (self.length + np.linalg.norm(self.center))
+            found, rounding = estimates(self.codes, self.ones, turned)
+            reach = self.reach * size
+            estimate = found * reach
+            estimate += float(self.center @ query)
+            bound = np.sqrt(self.spread2 + rounding**2)
+            bound *= SPAN
+            bound *= reach
+            bound += estimate
+            bound += self.slack * size
             other = self.ids != query_id
-            if k < len(self.ids):
+            if bar == -np.inf and k < len(self.ids):
                 likely = np.argpartition(-estimate, k)[: k + 1]
                 likely = likely[other[likely]]
                 if len(likely) >= k:
                     bar = max(bar, np.sort(exact(self.vectors[likely].astype(float), query))[-k])
             chosen = np.flatnonzero(~(bound < bar) & other)
-            score = exact(self.vectors[chosen].astype(float), query)
+            vectors = self.vectors[chosen].astype(float)
+            if len(chosen) > 2 * k:  # those whose product, up to its rounding, can't be among the k best need not be exact
+                near, margin = vectors @ query, self.slack[chosen] * size
+                low = near - margin
+                if np.isfinite(low).all():
+                    likely = np.flatnonzero(near + margin >= max(bar, np.partition(low, -k)[-k]))
+                    chosen, vectors = chosen[likely], vectors[likely]
+            score = exact(vectors, query)
         best = np.lexsort((self.ids[chosen], -score))[:k]
         best = best[score[best] >= bar]
         return self.ids[chosen][best], score[best]

@@ -452,3 +452,19 @@ def test_compiled_automaton():
         for _ in range(60):
             word = "".join(rng.choice(list("abc"), n))
             assert [name[i] for i in a.encode(word)] == plain(word), word
+
+
+def test_few_exact_products(monkeypatch):
+    """Where a bar leaves much of a block, only what may be among the k best is reranked, and the k best are those of all."""
+    rng = np.random.default_rng(7)
+    vectors, query = rng.standard_normal((4_096, 64)).astype("<f4"), rng.standard_normal(64)
+    center = vectors.mean(axis=0).astype(float)
+    codes, scalar, length = neighbours.encode(vectors - center)
+    block = neighbours.Block({"d": 64, "kind": "<f4", "ids": np.arange(4_096).tobytes(), "vectors": vectors.tobytes(), "center": center.tobytes(), "codes": codes.tobytes(), "scalar": scalar.tobytes(), "length": length.tobytes()})
+    want = neighbours.exact(vectors.astype(float), query)
+    best = np.lexsort((np.arange(4_096), -want))[:20]
+    size, asked, exact = float(np.linalg.norm(query)), [], neighbours.exact
+    monkeypatch.setattr(neighbours, "exact", lambda v, q: asked.append(len(v)) or exact(v, q))
+    ids, score = block.search(-1, query, size, query / size @ neighbours.rotation(64).T, float(np.sort(want)[-200]), 20)
+    assert ids.tolist() == best.tolist() and score.tolist() == want[best].tolist()
+    assert sum(asked) < 60
