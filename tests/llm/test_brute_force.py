@@ -38,6 +38,59 @@ def test_automaton_is_the_distance():
         assert got == (toxicity.EXACT if exact else toxicity.NEAR if near else toxicity.NONE), t
 
 
+def test_language_model_gradients():
+    """Of a window with texts that begin and places without a token: as differences of the loss in double precision."""
+    rng = np.random.default_rng(5)
+    gru = lm.Gru(70)
+    steps, streams, n = 5, 4, lm.HIDDEN
+    source = rng.integers(0, 70 + lm.TAILS + 1, (steps, streams))
+    target = rng.integers(0, 70 + lm.TAILS, (steps, streams))
+    target[3:, 1] = -1
+    fresh = rng.random((steps, streams)) < 0.3
+    start = rng.standard_normal((streams, n)).astype(np.float32) * 0.3
+    grads = {k: np.zeros_like(v) for k, v in gru.p.items()}
+    last, real = gru.gradients(source, target, fresh, start, grads)
+    assert real == (target >= 0).sum()
+
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+
+    def loss(p):
+        total, ends = 0.0, []
+        for s in range(streams):
+            h = start[s].astype(float)
+            for k in range(steps):
+                h = h * (not fresh[k, s])
+                gates = p["emb"][source[k, s]] @ p["w"] + p["b"]
+                z, r = sigmoid(gates[:n] + h @ p["u"][:, :n]), sigmoid(gates[n : 2 * n] + h @ p["u"][:, n : 2 * n])
+                g = np.tanh(gates[2 * n :] + (r * h) @ p["u"][:, 2 * n :])
+                h = (1 - z) * g + z * h
+                code = target[k, s]
+                if code < 0:
+                    continue
+                classes = log_softmax(h @ p["wc"] + p["bc"])
+                if code < 70:
+                    span = slice(code // lm.CLASS_SIZE * lm.CLASS_SIZE, (code // lm.CLASS_SIZE + 1) * lm.CLASS_SIZE)
+                    total -= classes[code // lm.CLASS_SIZE] + log_softmax(p["wo"][span] @ h + p["bo"][span])[code % lm.CLASS_SIZE]
+                else:
+                    total -= classes[gru.classes + code - 70]
+            ends.append(h)
+        return total, np.array(ends)
+
+    p = {k: v.astype(float) for k, v in gru.p.items()}
+    assert np.allclose(loss(p)[1], last, atol=1e-5)
+    for k, g in grads.items():
+        for at in np.argsort(-np.abs(g.ravel()))[: 6 * 9 : 9].tolist() + rng.integers(0, g.size, 4).tolist():
+            if p[k].ravel()[at] < -1e8:  # a place of the last class that no word has
+                continue
+            was, ends = p[k].flat[at], []
+            for by in (1e-5, -1e-5):
+                p[k].flat[at] = was + by
+                ends.append(loss(p)[0])
+            p[k].flat[at] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - g.flat[at]) < 1e-3 * (1 + abs(g.flat[at])), (k, at)
+
+
 def test_language_model_score(spark, sf):
     """The state runs on from token to token over the whole text; rare words share their class by add-one counts."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy(F.length("text")).limit(60)
