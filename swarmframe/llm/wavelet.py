@@ -43,8 +43,10 @@ SHARD_IDS = 1 << 20
 PARTITION_ROWS = 4_096
 MOST_PARTITIONS = 10_000
 END_ID = 0
-#: Pieces whose ids a worker keeps, about 160 bytes each; beyond that it starts afresh.
-PIECES_KEPT = 1_500_000
+#: Pieces whose ids a worker keeps, 64 to 128 bytes each; beyond that it starts afresh.
+PIECES_KEPT = 2_000_000
+#: Words of 64 bits that hold a piece; longer pieces are kept by themselves.
+KEY_WORDS = 3
 
 
 class Plane:
@@ -204,11 +206,95 @@ class WaveletMatrix:
 
 #: ASCII without the controls that regular expressions classify differently, and Latin letters.
 _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
-#: The library's pattern in UTF-8, letters first, with which no other rule shares a beginning; every byte from 0x80 is part of a letter.
-_PIECE = re.compile(rb" ?[A-Za-z\x80-\xff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
 #: Bytes of text whose pieces are held at a time; few enough for a core's cache.
 SLICE_BYTES = 1 << 18
 
+_U = np.uint64
+_BYTES = np.arange(256)
+_IS_SPACE = (_BYTES == 0x20) | (_BYTES >= 0x09) & (_BYTES <= 0x0D)
+#: Letters and digits; every byte from 0x80 is part of a letter.
+_IS_WORD = (_BYTES >= 0x80) | (_BYTES >= 0x30) & (_BYTES <= 0x39) | ((_BYTES | 0x20) >= 0x61) & ((_BYTES | 0x20) <= 0x7A)
+#: The first so many bytes of a word of 64 bits.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+_ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces, or few of them in a row, begin in texts of _PLAIN's letters.
+
+    These are ends of the library's pattern whatever stands around them: before white space
+    after anything else, before the last of white space and after it, unless it is a space,
+    which leads what follows; and before a sign after a letter or digit.  A piece never sees
+    more of what follows it than whether that is white space, which counts as the text's end.
+    """
+    space, word = _IS_SPACE[data], _IS_WORD[data]
+    begins = np.zeros(len(data), bool)
+    lasts = space[:-1] & ~space[1:]
+    lasts[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = False  # the next text doesn't follow
+    begins[:-1] = lasts
+    begins[1:] |= (space[1:] & ~space[:-1]) | (lasts & (data[:-1] != 0x20)) | (word[:-1] & ~(word[1:] | space[1:]))
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.flatnonzero(begins)
+
+
+def keys_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The bytes of each span in words of 64 bits, zeros behind them; data has whole words and KEY_WORDS more."""
+    words, at, low = data.view("<u8"), starts >> 3, ((starts & 7) << 3).astype(_U)
+    high, here, keys = _U(64) - low, data.view("<u8").take(starts >> 3), []
+    for k in range(KEY_WORDS):
+        after = words.take(at + (k + 1))
+        keys.append((here >> low | after << high) & _FIRST.take(np.clip(lengths - 8 * k, 0, 8)))
+        here = after
+    return keys
+
+
+class Table:
+    """A value that isn't 0 for each key, by open addressing; whole arrays of keys at a time."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.kept = np.zeros((1 << 12, KEY_WORDS + 1), _U), 0
+
+    def _place(self, keys: list[np.ndarray]) -> np.ndarray:
+        mixed = keys[0] * _ODD[0]
+        for key, odd in zip(keys[1:], _ODD[1:], strict=True):
+            mixed ^= (mixed >> _U(32)) + key * odd
+            mixed *= _ODD[0]
+        return (mixed >> _U(65 - len(self.rows).bit_length())).astype(np.int64)
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The value of each key, 0 if there is none."""
+        at, left, values = self._place(keys), np.arange(len(keys[0])), np.zeros(len(keys[0]), _U)
+        while len(left):
+            rows = self.rows.take(at, axis=0)
+            other = rows[:, 0] != keys[0]
+            for k in range(1, KEY_WORDS):
+                other |= rows[:, k] != keys[k]
+            values[left] = np.where(other, 0, rows[:, KEY_WORDS])
+            on = np.flatnonzero(other & (rows[:, KEY_WORDS] != 0))
+            left, at, keys = left[on], (at[on] + 1) & (len(self.rows) - 1), [key[on] for key in keys]
+        return values
+
+    def add(self, keys: list[np.ndarray], values: np.ndarray) -> None:
+        """Keys that differ and aren't there, with values that differ."""
+        self.kept += len(values)
+        if 2 * self.kept > len(self.rows):
+            old = self.rows[self.rows[:, KEY_WORDS] != 0]
+            self.rows = np.zeros((1 << (2 * self.kept).bit_length(), KEY_WORDS + 1), _U)
+            keys, values = [np.concatenate([key, old[:, k]]) for k, key in enumerate(keys)], np.concatenate([values, old[:, KEY_WORDS]])
+        at = self._place(keys)
+        while len(values):
+            free = np.flatnonzero(self.rows[at, KEY_WORDS] == 0)
+            self.rows[at[free], KEY_WORDS] = values[free]
+            own = free[self.rows[at[free], KEY_WORDS] == values[free]]  # of several at one place, one stays
+            for k, key in enumerate(keys):
+                self.rows[at[own], k] = key[own]
+            left = np.ones(len(values), bool)
+            left[own] = False
+            at, keys, values = (at[left] + 1) & (len(self.rows) - 1), [key[left] for key in keys], values[left]
+
 
 class IdEncoder:
     """Whole texts to ids with the tokenizers library; a piece that came before is looked up.
@@ -226,27 +312,44 @@ class IdEncoder:
             self.library.model._resize_cache(0)  # no piece is asked for twice here, so the library's own table would only fill
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces: dict[bytes, bytes] = {}
         #: A special token with a space could be made of two joined pieces.
         self.joins = not any(" " in t for t in self.special)
         #: Ids of tokens that begin with the sign of a space: of the first one of a piece that a space leads.
         self.leads = np.zeros(self.library.get_vocab_size(), bool)
         self.leads[[i for t, i in self.library.get_vocab().items() if t[:1] == "\u0120"]] = True
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Keep the ids of pieces; those that a space leads are cut apart again in one joined text."""
-        led = [p for p in pieces if p[:1] == b" " and not p.isspace()] if self.joins else []
-        if led:
-            (found,) = self.library.encode_batch_fast([b"".join(led).decode()], add_special_tokens=False)
+        self.table = Table()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table.clear()
+        #: First id and number of ids of longer pieces; ids of all pieces, one after another.
+        self.longer: dict[bytes, tuple[int, int]] = {}
+        self.ids, self.n_ids = np.empty(1 << 16, self.dtype), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        first, self.n_ids = self.n_ids, self.n_ids + len(ids)
+        if self.n_ids > len(self.ids):
+            more = np.empty(1 << self.n_ids.bit_length(), self.dtype)
+            more[:first] = self.ids[:first]
+            self.ids = more
+        self.ids[first : self.n_ids] = ids
+        return first
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the ids of pieces, the first and the number of each; those that a space leads are cut apart again in one joined text."""
+        led = np.array([self.joins and p[:1] == b" " and not p.isspace() for p in pieces], bool)
+        first, number = np.zeros((2, len(pieces)), np.int64)
+        joined = [p for p, on in zip(pieces, led.tolist(), strict=True) if on]
+        if joined:
+            (found,) = self.library.encode_batch_fast([b"".join(joined).decode()], add_special_tokens=False)
             ids = np.array(found.ids, self.dtype)
-            self._keep(led, [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)], ids)
-        alone = [p for p in pieces if p not in self.pieces]
-        each = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
-        self._keep(alone, np.cumsum([0, *map(len, each)]).tolist(), np.array([i for ids in each for i in ids], self.dtype))
-
-    def _keep(self, pieces: list[bytes], at: list[int], ids: np.ndarray) -> None:
-        packed, w = ids.tobytes(), self.dtype.itemsize
-        self.pieces.update((p, packed[w * a : w * b]) for p, a, b in zip(pieces, at[:-1], at[1:], strict=True))
+            at = np.flatnonzero(self.leads[ids])
+            first[led], number[led] = self._keep(ids) + at, np.diff(at, append=len(ids))
+        alone = [p.decode() for p, on in zip(pieces, led.tolist(), strict=True) if not on]
+        each = [e.ids for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
+        number[~led] = counts = np.array([len(ids) for ids in each], np.int64)
+        first[~led] = self._keep(np.array([i for ids in each for i in ids], self.dtype)) + np.cumsum(counts) - counts
+        return first, number
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text.
@@ -262,17 +365,48 @@ class IdEncoder:
                 gc.enable()
 
     def _many(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) >= PIECES_KEPT:
-            self.pieces.clear()
-        cut = [_PIECE.findall(t.encode()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new: set[bytes] = set()
-        for pieces in cut:
-            new.update(pieces or ())
-        self._learn([p for p in new if p not in self.pieces])
-        get = self.pieces.__getitem__
-        whole = [t for t, pieces in zip(texts, cut, strict=True) if pieces is None]
-        other = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
-        return [np.array(next(other).ids, self.dtype) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), self.dtype) for pieces in cut]
+        if self.table.kept + len(self.longer) >= PIECES_KEPT:
+            self._forget()
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        known = iter(self._plain([t.encode() for t, on in zip(texts, plain, strict=True) if on]))
+        other = iter(self.library.encode_batch_fast([t for t, on in zip(texts, plain, strict=True) if not on], add_special_tokens=False))
+        return [next(known) if on else np.array(next(other).ids, self.dtype) for on in plain]
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        offsets = np.cumsum([0, *map(len, texts)])
+        size = int(offsets[-1])
+        if not size:
+            return [self.ids[:0]] * len(texts)
+        whole = b"".join([*texts, bytes(-size % 8 + 8 * (KEY_WORDS + 1))])
+        data = np.frombuffer(whole, np.uint8)
+        starts = pieces_of(data[:size], offsets)
+        lengths = np.diff(starts, append=size)
+        keys = keys_of(data, starts, lengths)
+        values = self.table.find(keys)
+        longer = np.flatnonzero(lengths > 8 * KEY_WORDS)
+        values[longer] = 1
+        missing = np.flatnonzero(values == 0)
+        if len(missing):
+            new = [key[missing] for key in keys]
+            order = np.lexsort(new)
+            ranked = [key[order] for key in new]
+            differs = np.ones(len(order), bool)
+            differs[1:] = np.logical_or.reduce([key[1:] != key[:-1] for key in ranked])
+            at = missing[order[differs]]
+            first, number = self._learn([whole[a:b] for a, b in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)])
+            got = (first.astype(_U) + _U(1)) << _U(8) | number.astype(_U)  # a piece has at most one id for each byte
+            self.table.add([key[differs] for key in ranked], got)
+            values[missing[order]] = got[np.cumsum(differs) - 1]
+        first, number = (values >> _U(8)).astype(np.int64) - 1, (values & _U(255)).astype(np.int64)
+        if len(longer):
+            pieces = [whole[a:b] for a, b in zip(starts[longer].tolist(), (starts[longer] + lengths[longer]).tolist(), strict=True)]
+            new = list({p for p in pieces if p not in self.longer})
+            self.longer.update(zip(new, zip(*(x.tolist() for x in self._learn(new)), strict=True), strict=True))
+            first[longer], number[longer] = np.array([self.longer[p] for p in pieces]).T
+        ends = np.cumsum(number)
+        ids = self.ids.take(np.repeat(first - ends + number, number) + np.arange(ends[-1]))
+        bounds = np.append(0, ends)[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, IdEncoder] = {}
