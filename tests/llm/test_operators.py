@@ -109,6 +109,17 @@ def test_language_model(docs, edge, empty):
     assert scored[0] > scored[1]
 
 
+def test_language_model_counts_once(edge, monkeypatch):
+    """A model that score fits itself has counted the texts; for another model they are counted again."""
+    model, counted, count = language_model.fit(edge, epochs=1), [], language_model._counts
+    monkeypatch.setattr(language_model, "fit", lambda docs: model)
+    monkeypatch.setattr(language_model, "_counts", lambda *a: counted.append(1) or count(*a))
+    rows = lambda df: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    own = rows(language_model.score(edge))
+    assert not counted
+    assert own == rows(language_model.score(edge, model)) and counted
+
+
 def test_language_model_learns_from_all_texts(spark):
     rows = [(i, f"the w{i} stays here") for i in range(2_700)]
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
