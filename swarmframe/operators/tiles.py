@@ -315,3 +315,137 @@ def pmft_xy_counts(points: DataFrame, box: Box, r: float, x_max: float, y_max: f
 
     by = _frame(points)
     return _tally(points, box, r, False, ("theta",), work, "bin_x int, bin_y int, n long").groupBy(*by, "bin_x", "bin_y").agg(F.sum("n").alias("bin_count"))
+
+
+def pmft_r12_counts(points: DataFrame, box: Box, r: float, bins: int) -> DataFrame:
+    """(frame,) bin_r, bin_t1, bin_t2, bin_count of all bonds below r between points that are turned by theta; angles in quarter turns.
+
+    The quarter of an angle shows in the signs of a turned bond.  Each pair is met
+    once: from its other end the two angles change places.
+    """
+    width = r / bins
+
+    def work(grid, tiles):
+        theta = tiles.column("theta")
+        c, s = _turns(theta)
+        lost = np.isnan(c)
+        c[lost] = s[lost] = 0.0
+        right = tiles.squares()
+        x, y = tiles.at
+        own = [np.array([c * x + s * y, -c, -s]), np.array([s * x - c * y, -s, c])]  # of points, for the first angle
+        other = np.array([x, y, np.ones(len(c))])
+        size = bins + ceil(2 * grid.widest() / width) + 2
+        counts, twice = np.zeros(16 * size, np.int64), np.zeros(16 * size, np.int64)
+        slow = np.zeros((bins, 4, 4), np.int64)
+
+        def turn(a, dx, dy):
+            return min(floor(_exact_turn(a - atan2(dy, dx)) / (TAU / 4)), 3)
+
+        for q, p, shift, same in tiles:
+            a, b, d, e, f, u = tiles.room(6, q.stop - q.start, p.stop - p.start)
+            g, h = tiles.start(q, shift)
+            left = np.array([np.ones(len(g)), g, h]).T
+            np.matmul(left, own[0][:, p], out=a)
+            np.matmul(left, own[1][:, p], out=b)
+            # seen from the query the bond comes back: minus (dx, dy)
+            np.matmul(np.array([-c[q], -s[q], c[q] * g + s[q] * h]).T, other[:, p], out=d)
+            np.matmul(np.array([-s[q], c[q], s[q] * g - c[q] * h]).T, other[:, p], out=e)
+            tiles.square((g, h), right[:, p], 1 / (width * width), u)
+            np.sqrt(u, out=u)
+            u += NEAR
+            bits = np.signbit(a).view(np.uint8)
+            for v in (b, d, e):
+                bits *= 2
+                bits += np.signbit(v).view(np.uint8)
+            doubt = _bins(u, f)
+            a *= b
+            d *= e
+            a *= d
+            np.abs(a, out=a)
+            doubt |= a < 1e-10
+            f *= 16
+            f += bits
+            out = (size - 1) * 16
+            if lost.any():
+                gone = lost[q, None] | lost[p]
+                f[gone] = out
+                doubt &= ~gone
+            itself = False
+            if same:
+                equal = tiles.equal(q, p)
+                f[equal] = out
+                doubt &= ~equal
+                itself = bool((tiles.cell[q, None] == tiles.cell[p]).any()) and all(v is None for v in shift)
+            if doubt.any():
+                f[doubt] = out
+                qs, ps = (k + o.start for k, o in zip(np.nonzero(doubt), (q, p), strict=True))
+                dx, dy = tiles.exact(qs, ps, shift)
+                length = np.sqrt(dx * dx + dy * dy)
+                k = np.floor(length / width)
+                for n in np.flatnonzero((length < r) & (dx * dx + dy * dy < r * r)).tolist():
+                    k1, vx, vy = min(int(k[n]), bins - 1), float(dx[n]), float(dy[n])
+                    ti, tj = float(theta[qs[n]]), float(theta[ps[n]])
+                    slow[k1, turn(tj, vx, vy), turn(ti, -vx, -vy)] += 1
+                    if not (itself and tiles.cell[qs[n]] == tiles.cell[ps[n]]):
+                        slow[k1, turn(ti, 0.0 - vx, 0.0 - vy), turn(tj, -(0.0 - vx), -(0.0 - vy))] += 1
+            if itself:  # the query's own cell: both bonds of a pair are met
+                mine = tiles.cell[q, None] == tiles.cell[p]
+                counts += tiles.count(np.where(mine, f, out), len(counts))
+                f[mine] = out
+            twice += tiles.count(f, len(twice))
+        quarter = np.array([0, 3, 1, 2])  # by signs of cosine and sine
+        grids = [v.reshape(size, 2, 2, 2, 2)[:bins].reshape(bins, 4, 4) for v in (counts, twice)]
+        made = [np.zeros((bins, 4, 4), np.int64) for _ in grids]
+        for source, into in zip(grids, made, strict=True):
+            into[:, quarter[:, None], quarter] = source
+        all_ = made[0] + made[1] + made[1].transpose(0, 2, 1) + slow
+        k, t1, t2 = np.indices(all_.shape, np.int32)
+        return {"bin_r": k.ravel(), "bin_t1": t1.ravel(), "bin_t2": t2.ravel(), "n": all_.ravel()}
+
+    by = _frame(points)
+    rows = _tally(points, box, r, True, ("theta",), work, "bin_r int, bin_t1 int, bin_t2 int, n long")
+    return rows.groupBy(*by, "bin_r", "bin_t1", "bin_t2").agg(F.sum("n").alias("bin_count"))
+
+
+def correlation_sums(points: DataFrame, box: Box, r: float, bins: int) -> DataFrame:
+    """(frame,) bin, n, re: number of all bonds below r by distance, and the sum of re * re + im * im of their ends.
+
+    Each pair is met once and counts twice; the imaginary parts of its two bonds add up to 0.
+    """
+    width = r / bins
+
+    def work(grid, tiles):
+        right = tiles.squares()
+        values = np.array([tiles.column("re"), tiles.column("im")])
+        size = bins + ceil(2 * grid.widest() / width) + 2
+        counts, sums = np.zeros(size, np.int64), np.zeros(size)
+        for q, p, shift, same in tiles:
+            u, f, w = tiles.room(3, q.stop - q.start, p.stop - p.start)
+            tiles.square(tiles.start(q, shift), right[:, p], 1 / (width * width), u)
+            np.sqrt(u, out=u)
+            u += NEAR
+            doubt = _bins(u, f)
+            if same:
+                f[tiles.equal(q, p)] = size - 1
+                doubt &= f < size - 1
+            if doubt.any():
+                qs, ps = np.nonzero(doubt)
+                d = tiles.exact(qs + q.start, ps + p.start, shift)
+                d2 = sum((v * v for v in d[1:]), d[0] * d[0])
+                f[qs, ps] = np.where(d2 < r * r, np.minimum(np.floor(np.sqrt(d2) / width), np.where(np.sqrt(d2) < r, bins - 1, size - 1)), size - 1)
+            np.matmul(values[:, q].T, values[:, p], out=w)
+            share = 2
+            if same and all(v is None for v in shift):  # the query's own cell: both bonds of a pair are met
+                mine = tiles.cell[q, None] == tiles.cell[p]
+                key = tiles.whole(np.where(mine, f, size - 1))
+                counts += np.bincount(key, minlength=size)
+                sums += np.bincount(key, weights=w.ravel(), minlength=size)
+                f[mine] = size - 1
+            key = tiles.whole(f)
+            counts += share * np.bincount(key, minlength=size)
+            sums += share * np.bincount(key, weights=w.ravel(), minlength=size)
+        return {"bin": np.arange(bins, dtype=np.int32), "n": counts[:bins], "re": sums[:bins]}
+
+    by = _frame(points)
+    rows = _tally(points, box, r, True, ("re", "im"), work, "bin int, n long, re double")
+    return rows.groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.sum("re").alias("re"))

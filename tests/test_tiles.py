@@ -57,3 +57,17 @@ def test_pmft_xy_makes_no_bonds(spark, sf, monkeypatch):
 
 def test_frames_pmft_xy_makes_no_bonds(spark, sf, monkeypatch):
     assert without_bonds(spark, sf, "frames_pmft_xy", monkeypatch).count() == 144
+
+
+@pytest.mark.parametrize("frames", [True, False])
+def test_pmft_r12(spark, blocks, frames):
+    p, box = odd_points(spark, 2), Box.square(16.0)
+    p = p if frames else p.drop("frame")
+    want = pmft.pmft_r12(neighbors.ball(p, box, 2.0, carry=("theta",)), None, None, box, 9, 9, 2.0, (4, 4, 4))
+    got = pmft.pmft_r12_within(p, box, 9, 9, 2.0, 4)
+    columns = ("bin_r", "bin_t1", "bin_t2", "bin_count", "pcf", "pmft")
+    assert flat(got, *columns) == flat(want, *columns) and got.agg(F.sum("bin_count")).first()[0] > 1_000
+
+
+def test_pmft_r12_makes_no_bonds(spark, sf, monkeypatch):
+    assert without_bonds(spark, sf, "pmft_r12", monkeypatch).count() == 64
