@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmframe.functions.box import Box
+from swarmframe.operators import tiles
 from swarmframe.operators.neighbors import _frame, ball
 
 
@@ -107,6 +108,18 @@ def correlation(bonds: DataFrame, values: DataFrame | None, query_values: DataFr
     return dense(means, {"bin": bins}, ["bin_count", "re", "im"], means if by else None)
 
 
+def correlation_within(points: DataFrame, box: Box, bins: int, r_max: float, per_frame: bool = False) -> DataFrame:
+    """``correlation`` of all bonds below r_max of points that have re and im, summed by tiles and never made; no value is null.
+
+    per_frame: every frame of the points, also those without bonds.
+    """
+    by = _frame(points) if per_frame else []
+    sums = tiles.correlation_sums(points, box, r_max, bins).groupBy(*by, "bin").agg(F.sum("n").alias("bin_count"), F.sum("re").alias("re"))
+    mean = F.when(F.col("bin_count") > 0, F.col("re") / F.col("bin_count")).otherwise(0.0)
+    means = sums.select(*by, "bin", "bin_count", mean.alias("re"), F.lit(0.0).alias("im"))
+    return dense(means, {"bin": bins}, ["bin_count", "re", "im"], points if by else None)
+
+
 def local_density(points: DataFrame, box: Box, r_max: float, diameter: float, queries: DataFrame | None = None) -> DataFrame:
     """(frame,) point_id, num_neighbors, density; a point that crosses the sphere's edge counts in part."""
     asked = points if queries is None else queries

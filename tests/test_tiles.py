@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swarmframe.functions.box import Box
-from swarmframe.operators import neighbors, pmft, tiles
+from swarmframe.operators import density, neighbors, pmft, tiles
 from swarmframe.plans import catalog
 
 
@@ -71,3 +71,23 @@ def test_pmft_r12(spark, blocks, frames):
 
 def test_pmft_r12_makes_no_bonds(spark, sf, monkeypatch):
     assert without_bonds(spark, sf, "pmft_r12", monkeypatch).count() == 64
+
+
+@pytest.mark.parametrize("frames", [True, False])
+def test_correlation(spark, blocks, frames):
+    p, box = odd_points(spark, 3), Box.cube(16.0)
+    p = p.selectExpr("*", "CAST(point_id % 17 AS DOUBLE) AS re", "CAST(point_id % 5 AS DOUBLE) AS im")
+    want = density.correlation(neighbors.ball(p, box, 3.0, carry=("re", "im")), None, None, 6, 3.0, per_frame=frames)
+    got = density.correlation_within(p, box, 6, 3.0, per_frame=frames)
+    columns = ["frame"] * frames + ["bin", "bin_count", "re", "im"]
+    assert flat(got, *columns) == flat(want, *columns)
+
+
+def test_frames_correlation_makes_no_bonds(spark, sf, monkeypatch):
+    got = without_bonds(spark, sf, "frames_correlation", monkeypatch)
+    assert got.count() == 6 * got.select("frame").distinct().count() > 0
+
+
+def test_correlation_of_a_frame_without_bonds(spark):
+    p = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 2.0, 1.0)], "frame long, point_id long, x double, y double, z double, re double, im double")
+    assert flat(density.correlation_within(p, Box.cube(16.0), 6, 3.0, per_frame=True), "frame", "bin", "bin_count", "re", "im") == [(1, k, 0, 0.0, 0.0) for k in range(6)]
